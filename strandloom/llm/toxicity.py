@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and accented Latin letters to plain ones, and reads
-digits and signs as the letters they stand for. Lexicon entries are whole words or word beginnings; their weights are
-log ratios learned from labelled rows, on top of a short list of well-known insults. Exception phrases cancel the
-matches that they cover. A logistic curve over the summed weight, plain and per word, gives the score.
+Folding lower-cases, maps look-alike letters of other scripts to plain ones, and reads digits and signs as the letters
+they stand for; plain entries are also sought with the accents of Latin letters taken off. Lexicon entries are whole
+words or word beginnings; their weights are log ratios learned from labelled rows, on top of a short list of well-known
+insults. Exception phrases cancel the matches that they cover. A logistic curve over the summed weight, plain and per
+word, gives the score.
 
 Fitted on at most `max_fit_rows` labelled rows (those with the smallest hash of doc_id): one half gives the
 lexicon's counts, by aggregation on the executors, the other half the curve. Scoring reads every whole text.
@@ -27,6 +28,8 @@ from .common import crc_of_id, durable, ship
 MAX_FIT_ROWS = 20_000
 MAX_ENTRIES = 20_000
 LEAST_SUPPORT = 4
+#: Share of the toxic rows of a half that an entry must occur in, so that one group of near copies makes no entry.
+LEAST_SHARE = 0.004
 LEAST_WEIGHT = 2.5
 SEED_WEIGHT = 4.0
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "bastard", "bitch", "asshole", "retard", "vermin")
@@ -40,10 +43,6 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 def _folding() -> dict[int, str]:
     table = {ord(x): a for a, xs in LOOKALIKES.items() for x in xs}
-    for c in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFD", chr(c))[0].lower()
-        if base.isascii() and base.isalpha():
-            table[c] = base
     for c in range(0xFF21, 0xFF5B):  # full-width letters
         base = unicodedata.normalize("NFKC", chr(c)).lower()
         if base.isalpha():
@@ -53,6 +52,7 @@ def _folding() -> dict[int, str]:
 
 
 FOLD = _folding()
+ACCENTS = {c: base for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFD", chr(c))[0].lower()).isascii() and base.isalpha()}
 NOT_WORD = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
@@ -72,13 +72,21 @@ class Lexicon:
         for p in exceptions:
             self.machine.add_word(" " + p + " ", (len(p), None))
         self.machine.make_automaton()
+        self.plain = ahocorasick.Automaton()
+        for w in SEEDS:
+            if w in entries:
+                self.plain.add_word(" " + w + " ", (len(w), entries[w][0]))
+        self.plain.make_automaton()
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Summed weight and weight per 100 words, both on a log scale. Of overlapping matches the longest counts."""
         folded = " " + fold(text) + " "
         covered: dict[int, tuple[int, float]] = {}
         blocked: list[tuple[int, int]] = []
-        for end, (n, w) in self.machine.iter(folded):
+        found = list(self.machine.iter(folded))
+        if len(self.plain) and not folded.isascii():
+            found += self.plain.iter(folded.translate(ACCENTS))
+        for end, (n, w) in found:
             whole = folded[end] == " "
             start = end - n + (0 if whole else 1)
             if w is None:
@@ -129,6 +137,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held)
     chosen = marks.select("doc_id", "toxic", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(max_fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_fit_rows narrow rows
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("order").alias("order"))  # copies say nothing new
     return rows.select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.shiftright("order", 8), F.lit(2)) == 0).alias("half"))
 
 
@@ -145,7 +154,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     heads = words.select(F.explode(F.expr("transform(sequence(4, least(8, length(word) - 1)), n -> substring(word, 1, n))")).alias("p"), "toxic", "clean").where("p <> ''")
     heads = heads.groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).select("p", F.lit(False).alias("whole"), "toxic", "clean")
     weight = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-    found = whole.unionByName(heads).where(F.col("toxic") >= LEAST_SUPPORT).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
+    found = whole.unionByName(heads).where(F.col("toxic") >= max(LEAST_SUPPORT, LEAST_SHARE * bad)).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
     entries = dict(seeds)
     for r in found.orderBy(F.desc("toxic"), F.desc("w"), "p", "whole").limit(MAX_ENTRIES).collect():
         if r.p not in entries or r.whole is False:

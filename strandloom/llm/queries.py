@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_model import lm_scores
+from .line_dedup import line_dedup
 from .mixing import mix, taken
 from .simhash import simhash_components
+from .topk import exact_top_k
 from .toxicity import toxicity_scores
 
 
@@ -24,11 +27,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -37,16 +49,52 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_exact_top_k": op4_exact_top_k,
         "op5_toxicity": op5_toxicity,
+        "op6_line_dedup": op6_line_dedup,
         "op7_bpe": op7_bpe,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
+OP4_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT trim(unnest(ls), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line, coalesce('=' || source, '') AS site FROM d),
+b AS (
+  SELECT list(line) AS gone FROM (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8)),
+k AS (
+  SELECT doc_id, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(gone, trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), false)) AS kept
+  FROM d, b)
+SELECT doc_id, len(ls) AS n_lines, len(ls) - len(kept) AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256
+FROM k
+"""
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -63,4 +111,4 @@ WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL}

@@ -14,6 +14,7 @@ from .language_model import lm_scores
 from .line_dedup import line_dedup
 from .mixing import mix, taken
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .topk import exact_top_k
 from .toxicity import toxicity_scores
 
@@ -53,6 +54,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

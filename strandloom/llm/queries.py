@@ -14,11 +14,18 @@ from .language_model import lm_scores
 from .line_dedup import line_dedup
 from .mixing import mix, taken
 from .simhash import simhash_components
+from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .topk import exact_top_k
 from .toxicity import toxicity_scores
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(table(spark, sf_dir, "documents"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return done.select("doc_id", "class_id", "n_links", "n_words", covered.alias("n_shared_words"), F.size("spans").cast("long").alias("n_spans"), "spans")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", taken().alias("taken"), "source", F.size("pieces").alias("n_pieces"))
@@ -61,6 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_exact_top_k": op4_exact_top_k,

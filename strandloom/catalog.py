@@ -1,9 +1,372 @@
-"""Registered queries of the read-collection operators and their SQL."""
+"""Registered queries of the read-collection operators, and for each the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import tempfile
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import sequence as fn
+from .operators import codec, delta, graph, pairs
+from .operators import edges as ed
+from .operators import sketch as sk
+from .operators.dedup import distinct_reads, duplicates
+from .plans import archive
+from .plans.durable import checkpoint_folder, durable
+from .sources import reads as src
+
+THRESHOLD = 90
+LETTERS = src.LETTERS
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shipping import ship
+
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.document_reads(_documents(spark, sf_dir))
+
+
+def _cleaned_sql(n: bool = False) -> str:
+    to = "ACGTACGTACGTACGTACGTACGTA" + ("N" if n else "C")
+    return f"g AS (SELECT doc_id, regexp_replace(translate(lower(text), '{LETTERS}', '{to}'), '{'[^ACGTN]' if n else '[^ACGT]'}', '', 'g') AS g FROM documents)"
+
+
+READS = f"{_cleaned_sql()}, reads AS (SELECT doc_id * 1000 + o AS read_id, substr(g, o + 1, 100) AS seq FROM (SELECT doc_id, g, unnest(range(0, least(length(g) - 100, 199) + 1, 40)) AS o FROM g WHERE length(g) >= 100))"
+READS_N = f"{_cleaned_sql(True)}, reads AS (SELECT doc_id AS read_id, substr(g, 1, 100) AS seq FROM g WHERE length(g) >= 100)"
+RC = "reverse(translate({}, 'ACGTN', 'TGCAN'))"
+CANON = f"least(seq, {RC.format('seq')})"
+DISTINCT = f"{READS}, named AS (SELECT read_id, seq, {CANON} AS canon FROM reads), uniq AS (SELECT min(read_id) AS read_id, arg_min(seq, read_id) AS seq FROM named GROUP BY canon)"
+
+
+def _value_sql(kmer: str) -> str:
+    return f"list_reduce(list_transform(string_split(translate({kmer}, 'ACGT', '0123'), ''), lambda c: c::BIGINT), lambda a, b: a * 4 + b)"
+
+
+def _hash_sql(inner: str, k: int, x: str = "v", to: str = "h") -> str:
+    """Adds column `to`; one subquery a step keeps the text short."""
+    steps = len(fn.HASH_STEPS)
+    for n in range(steps):
+        before, after = (x if n == 0 else f"{to}_{n}"), (to if n == steps - 1 else f"{to}_{n + 1}")
+        inner = f"SELECT *, {fn.hash_steps_sql(before, k, 'xor({a}, {b})')[n]} AS {after} FROM ({inner})"
+    return inner
+
+
+def _strands_sql(k: int, source: str = "reads") -> str:
+    return f"o AS (SELECT read_id, 0 AS strand, reverse(seq) AS s FROM {source} UNION ALL SELECT read_id, 1, translate(seq, 'ACGTN', 'TGCAN') FROM {source}), km AS (SELECT read_id, strand, s, CAST(p + {k - 2} AS INTEGER) AS pos, substr(s, p, {k}) AS kmer FROM (SELECT *, unnest(range(1, length(s) - {k} + 2)) AS p FROM o WHERE length(s) >= {k}))"
+
+
+def _sketch_sql(k: int, kind: str = "min", nth: int = 1, source: str = "reads") -> str:
+    order = "h" if kind == "min" else "h DESC"
+    return f"{_strands_sql(k, source)}, hs AS ({_hash_sql(f'SELECT *, {_value_sql("kmer")} AS v FROM km', k)}), sketch AS (SELECT read_id, h, strand, pos, s FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY {order}, strand, pos) AS place FROM hs) WHERE place = {nth})"
+
+
+EDGES = """n AS (SELECT *, count(*) OVER (PARTITION BY h) AS cn, row_number() OVER (PARTITION BY h ORDER BY pos DESC, read_id) AS rn, rank() OVER (PARTITION BY h ORDER BY pos DESC) AS gs FROM sketch),
+cand AS (SELECT a.read_id AS probe, b.read_id AS found, CASE WHEN a.pos = b.pos THEN 'hamming' ELSE 'shift' END AS kind, b.pos - a.pos AS gap, b.strand AS bs, CAST(a.strand <> b.strand AS INTEGER) AS isrc,
+  3 * hamming(substr(b.s, 1 + b.pos - a.pos, 100), substr(a.s, 1, length(a.s) - (b.pos - a.pos))) + b.pos - a.pos AS dif
+  FROM n a JOIN n b ON a.h = b.h AND ((b.pos = a.pos AND b.rn < a.rn AND b.rn >= a.rn - 401) OR (b.pos > a.pos AND b.rn < a.gs AND b.rn >= a.gs - 401)) WHERE a.cn >= 2),
+turned AS (SELECT *, greatest(probe, found) AS rid, least(probe, found) AS prid, CASE WHEN bs = 1 THEN -gap ELSE gap END AS s0 FROM cand),
+flat AS (SELECT probe, kind, rid, prid, CAST(CASE WHEN probe < found AND isrc = 0 THEN -s0 ELSE s0 END AS INTEGER) AS shift, CAST(dif AS INTEGER) AS dif, isrc FROM turned),
+top5 AS (SELECT rid, prid, shift, dif, isrc FROM (SELECT *, rank() OVER (PARTITION BY probe ORDER BY dif) AS place FROM flat WHERE dif > 0 AND dif < 90) WHERE place <= 5)"""
+PAIRS = f"{_cleaned_sql()}, pairs AS (SELECT doc_id AS pair_id, substr(g, 1, 100) AS mate1, {RC.format('substr(g, 61, 100)')} AS mate2, {RC.format('substr(g, 61, 80)')} AS short2 FROM g WHERE length(g) >= 160)"
+REACH = """both_ways AS (SELECT rid AS u, prid AS v FROM top5 UNION SELECT prid, rid FROM top5),
+reach AS (SELECT u AS node, u AS root FROM both_ways UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.node),
+comps AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+
+
+def _edges_k15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _reads(spark, sf_dir)
+    return ed.edges(r, sk.minimizers(r, 15), THRESHOLD)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _reads(spark, sf_dir)
+    return ed.candidates(r, sk.minimizers(r, 15))
+
+
+def reverse_complement(spark, sf):
+    return _reads(spark, sf).select("read_id", fn.reverse_complement(F.col("seq")).alias("rc"))
+
+
+def reverse_reads(spark, sf):
+    return _reads(spark, sf).select("read_id", F.reverse("seq").alias("reversed"))
+
+
+def base_codes(spark, sf):
+    c = fn.base_codes(F.col("seq"))
+    return src.document_reads_n(_documents(spark, sf)).select("read_id", c.alias("codes"), (fn.from_codes(c) == F.col("seq")).alias("same"))
+
+
+def base_composition(spark, sf):
+    r = src.document_reads_n(_documents(spark, sf))
+    return r.select(F.explode(F.split("seq", "")).alias("base")).where("base <> ''").groupBy("base").agg(F.count("*").alias("n"))
+
+
+def _kmers(spark, sf, k):
+    return _reads(spark, sf).select("read_id", F.explode(fn.kmers(F.col("seq"), k)).alias("kmer")).select("read_id", fn.kmer_value(F.col("kmer")).alias("v"))
+
+
+def kmer_values(spark, sf):
+    return _kmers(spark, sf, 15).groupBy("read_id").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
+
+
+def kmer_hash(spark, sf):
+    rows = _kmers(spark, sf, 16).select("read_id", fn.hash64(F.col("v"), 16).alias("h"))
+    return rows.groupBy("read_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("h").alias("total"))
+
+
+def n_kmer_values(spark, sf):
+    r = src.document_reads_n(_documents(spark, sf))
+    rows = r.select("read_id", F.explode(fn.kmers(F.col("seq"), 15)).alias("kmer")).select("read_id", fn.kmer_value(F.col("kmer")).alias("v"))
+    return rows.groupBy("read_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
+
+
+def packed_positions(spark, sf):
+    rows = sk.minimizers(_reads(spark, sf), 15).select("read_id", "pos", "strand", fn.pack_position(F.col("read_id"), F.col("pos"), F.col("strand"), F.lit(0)).alias("y"))
+    u = fn.unpack_position(F.col("y"))
+    return rows.select("read_id", "y", ((u["read_id"] == F.col("read_id")) & (u["pos"] == F.col("pos")) & (u["strand"] == F.col("strand"))).alias("same"))
+
+
+def _minimizer(k, kind):
+    return lambda spark, sf: sk.minimizers(_reads(spark, sf), k, kind)
+
+
+def wide_minimizer_k40(spark, sf):
+    return sk.wide_minimizers(_reads(spark, sf), 40)
+
+
+def kth_smallest_kmer(spark, sf):
+    return sk.kth_smallest(_reads(spark, sf), 15, 2)
+
+
+def canonical_minimizer(spark, sf):
+    return sk.canonical_minimizers(src.document_reads_n(_documents(spark, sf)), 15)
+
+
+def wk_minimizers(spark, sf):
+    return sk.window_minimizers(src.document_reads_n(_documents(spark, sf)), 15, 10)
+
+
+def sketch_schedule(spark, sf):
+    rows = sk.schedule(_reads(spark, sf))
+    return rows.groupBy("k", "kind").agg(F.count("*").alias("n"), F.countDistinct("h").alias("hashes"))
+
+
+def cluster_sizes(spark, sf):
+    return sk.minimizers(_reads(spark, sf), 15).groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def cluster_index(spark, sf):
+    return ed.cluster_index(sk.minimizers(_reads(spark, sf), 15)).where("cn >= 2").select("h", "pos", "read_id", F.col("rn").cast("int"), F.col("gs").cast("int"))
+
+
+def _of_kind(kind):
+    def run(spark, sf):
+        rows = _candidates(spark, sf).where((F.col("how") == kind) & (F.col("dif") > 0) & (F.col("dif") < THRESHOLD))
+        return ed.canonical(rows)
+
+    return run
+
+
+def zero_weight_pairs(spark, sf):
+    return ed.canonical(_candidates(spark, sf).where("dif = 0")).select("rid", "prid", "isrc")
+
+
+def edge_weight_hist(spark, sf):
+    return _edges_k15(spark, sf).groupBy("dif").agg(F.count("*").alias("n"))
+
+
+def deduplicated_edges(spark, sf):
+    r = durable(distinct_reads(_reads(spark, sf)))
+    return ed.edges(r, sk.minimizers(r, 15), THRESHOLD)
+
+
+def schedule_edges(spark, sf):
+    r = durable(distinct_reads(_reads(spark, sf)))
+    found = ed.edges(r, sk.schedule(r), THRESHOLD, ("k", "kind", "h"))
+    return found.groupBy("k", "kind").agg(F.count("*").alias("edges"), F.sum("dif").alias("weight"))
+
+
+def components(spark, sf):
+    return graph.labelled(_edges_k15(spark, sf).select(F.col("rid").alias("u"), F.col("prid").alias("v")))
+
+
+def component_sizes(spark, sf):
+    return components(spark, sf).groupBy("root").agg(F.count("*").alias("n"))
+
+
+def msf_total_weight(spark, sf):
+    return graph.spanning_forest(_edges_k15(spark, sf)).agg(F.count("*").alias("edges"), F.sum("dif").alias("weight"))
+
+
+def forest_nodes(spark, sf):
+    return graph.rooted(graph.spanning_forest(_edges_k15(spark, sf)))
+
+
+def forest_invariants(spark, sf):
+    rows = durable(forest_nodes(spark, sf))
+    trees = rows.groupBy("root").agg(F.count("*").alias("nodes"), F.count_if(F.col("read_id") != F.col("prid")).alias("edges"), F.min("read_id").alias("low"))
+    return trees.select("root", "nodes", (F.col("edges") == F.col("nodes") - 1).alias("is_tree"), (F.col("low") == F.col("root")).alias("rooted_low"))
+
+
+def singletons(spark, sf):
+    found = _edges_k15(spark, sf)
+    touched = found.select(F.col("rid").alias("read_id")).unionByName(found.select(F.col("prid").alias("read_id"))).distinct()
+    return _reads(spark, sf).select("read_id").join(touched, "read_id", "left_anti")
+
+
+def _edge_texts(spark, sf):
+    r = _reads(spark, sf).select("read_id", F.reverse("seq").alias("s"))
+    e = _edges_k15(spark, sf).join(r.select(F.col("read_id").alias("rid"), F.col("s").alias("c")), "rid").join(r.select(F.col("read_id").alias("prid"), F.col("s").alias("p")), "prid")
+    child = F.when(F.col("isrc") == 1, fn.reverse_complement(F.col("c"))).otherwise(F.col("c"))
+    return e.withColumn("child", child).withColumn("delta", delta.delta_encode("p", "child", "shift"))
+
+
+def delta_roundtrip(spark, sf):
+    back = delta.delta_decode("p", "delta", "shift", F.length("child"))
+    return _edge_texts(spark, sf).select("rid", "prid", (back == F.col("child")).alias("same"))
+
+
+def delta_length_bound(spark, sf):
+    return _edge_texts(spark, sf).select("rid", "prid", (F.length("delta") <= F.col("dif")).alias("bounded"))
+
+
+def order_newid(spark, sf):
+    rows = duplicates(_reads(spark, sf)).select("read_id", (F.col("rep_id") == F.col("read_id")).alias("kept"))
+    return graph.new_ids(rows, "kept")
+
+
+def dup_groups(spark, sf):
+    return duplicates(_reads(spark, sf)).where("rep_id <> read_id")
+
+
+def dup_counts(spark, sf):
+    return dup_groups(spark, sf).groupBy("rep_id").agg(F.count_if(F.col("isrc") == 0).alias("forward"), F.count_if(F.col("isrc") == 1).alias("backward"))
+
+
+def _slots(spark, sf):
+    """Slots in order of the mates' texts; ids break ties."""
+    rows = src.document_pairs(_documents(spark, sf))
+    both = rows.select("pair_id", F.lit(0).alias("file"), F.col("mate1").alias("seq")).unionByName(rows.select("pair_id", F.lit(1).alias("file"), F.col("mate2").alias("seq")))
+    from pyspark.sql import Window
+
+    both = both.withColumn("slot", F.row_number().over(Window.orderBy("seq", "pair_id", "file")) - 1)
+    return both.groupBy("pair_id").agg(F.min("slot").alias("l"), F.max("slot").alias("r"))
+
+
+def mate_distance(spark, sf):
+    return pairs.mate_distances(_slots(spark, sf)).select("pair_id", "dist")
+
+
+def mate_lookup(spark, sf):
+    rows = durable(src.document_pairs(_documents(spark, sf)))
+    n = rows.count()
+    ids = graph.new_ids(rows.select(F.col("pair_id").alias("read_id"), F.lit(True).alias("all")), "all")
+    both = ids.select(F.col("newid").alias("read_id")).unionByName(ids.select((F.col("newid") + n).alias("read_id")))
+    return pairs.mate_of(both, n)
+
+
+def paired_edge_weight(spark, sf):
+    """Unshifted weight of each short mate's reverse complement over the first mate, 60 bases on."""
+    rows = src.document_pairs(_documents(spark, sf), 80)
+    rows = rows.withColumn("other", fn.reverse_complement(F.col("mate2"))).withColumn("miss", ed.mismatches("mate1", "other", F.lit(60)))
+    return rows.select("pair_id", F.expr(ed.uneven_weight("60", "length(other) - 40", "miss")).cast("int").alias("dif"))
+
+
+def pair_concat(spark, sf):
+    rows = durable(src.document_pairs(_documents(spark, sf)))
+    number = graph.new_ids(rows.select(F.col("pair_id").alias("read_id"), F.lit(True).alias("all")), "all")
+    rows = rows.join(number.withColumnRenamed("read_id", "pair_id"), "pair_id")
+    return src.mates(rows.select(F.col("newid").alias("read_id"), F.col("mate1").alias("seq")), rows.select(F.col("newid").alias("read_id"), F.col("mate2").alias("seq")))
+
+
+def read_length_check(spark, sf):
+    return src.checked(_reads(spark, sf)).groupBy(F.length("seq").alias("length")).agg(F.count("*").alias("n"))
+
+
+def codec_choice(spark, sf):
+    rows = _reads(spark, sf).groupBy(F.floor(F.col("read_id") / 100_000).alias("block")).agg(F.array_join(F.array_sort(F.collect_list("seq")), "\n").cast("binary").alias("raw"))
+    best = codec.smaller(codec.block_sort_compress("raw"), codec.dictionary_compress("raw"))
+    rows = rows.withColumn("best", best)
+    return rows.select("block", (codec.decompress(F.col("best.data"), F.col("best.codec")) == F.col("raw")).alias("same"), (F.octet_length("best.data") < F.octet_length("raw")).alias("smaller"))
+
+
+def _archive(ordered: bool, paired: bool):
+    def run(spark, sf):
+        path = f"{checkpoint_folder(spark) if not spark.sparkContext.master.startswith('local[') else tempfile.mkdtemp()}/archive-{uuid.uuid4().hex}"
+        docs = _documents(spark, sf)
+        if not paired:
+            archive.write(src.document_reads(docs), path, ordered)
+        else:
+            rows = durable(src.document_pairs(docs))
+            top = rows.agg(F.max("pair_id")).first()[0] or 0
+            ends = rows.select("pair_id", F.col("pair_id").alias("first_id"), (F.col("pair_id") + top + 1).alias("second_id"))
+            both = rows.select(F.col("pair_id").alias("read_id"), F.col("mate1").alias("seq")).unionByName(rows.select((F.col("pair_id") + top + 1).alias("read_id"), F.col("mate2").alias("seq")))
+            archive.write(both, path, ordered, ends)
+        return archive.read(spark, path)
+
+    return run
+
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "reverse_complement": (reverse_complement, f"WITH {READS} SELECT read_id, {RC.format('seq')} AS rc FROM reads"),
+    "reverse_reads": (reverse_reads, f"WITH {READS} SELECT read_id, reverse(seq) AS reversed FROM reads"),
+    "base_codes": (base_codes, f"WITH {READS_N} SELECT read_id, translate(seq, 'ACGTN', '01234') AS codes, true AS same FROM reads"),
+    "base_composition": (base_composition, f"WITH {READS_N} SELECT base, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS base FROM reads) GROUP BY base"),
+    "kmer_values": (kmer_values, f"WITH {READS}, k AS (SELECT read_id, {_value_sql('substr(seq, p, 15)')} AS v FROM (SELECT *, unnest(range(1, 87)) AS p FROM reads)) SELECT read_id, count(*) AS n, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total FROM k GROUP BY read_id"),
+    "kmer_hash": (kmer_hash, f"WITH {READS}, k AS ({_hash_sql(f'SELECT read_id, {_value_sql("substr(seq, p, 16)")} AS v FROM (SELECT *, unnest(range(1, 86)) AS p FROM reads)', 16)}) SELECT read_id, min(h) AS low, max(h) AS high, CAST(sum(h) AS BIGINT) AS total FROM k GROUP BY read_id"),
+    "n_kmer_values": (n_kmer_values, f"WITH {READS_N}, k AS (SELECT read_id, list_reduce(list_transform(range(1, 16), lambda i: (CASE substr(kmer, i, 1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END | CASE WHEN substr(kmer, i + 1, 1) = 'N' THEN 1 ELSE 0 END)::BIGINT), lambda a, b: a * 4 + b) AS v FROM (SELECT read_id, substr(seq, p, 15) AS kmer FROM (SELECT *, unnest(range(1, 87)) AS p FROM reads))) SELECT read_id, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total FROM k GROUP BY read_id"),
+    "packed_positions": (packed_positions, f"WITH {READS}, {_sketch_sql(15)} SELECT read_id, (read_id << 32) + pos * 4 + strand * 2 AS y, true AS same FROM sketch"),
+    "minimizer_k15": (_minimizer(15, "min"), f"WITH {READS}, {_sketch_sql(15)} SELECT read_id, h, strand, pos FROM sketch"),
+    "minimizer_k31": (_minimizer(31, "min"), f"WITH {READS}, {_sketch_sql(31)} SELECT read_id, h, strand, pos FROM sketch"),
+    "maximizer_k15": (_minimizer(15, "max"), f"WITH {READS}, {_sketch_sql(15, 'max')} SELECT read_id, h, strand, pos FROM sketch"),
+    "wide_minimizer_k40": (wide_minimizer_k40, f"WITH {READS}, {_strands_sql(40)}, w AS ({_hash_sql(_hash_sql(f'SELECT *, {_value_sql("substr(kmer, 10, 31)")} AS v, {_value_sql("substr(kmer, 1, 9)")} AS u FROM km', 31, 'v', 'lo'), 9, 'u', 'hi')}) SELECT read_id, hi, lo, strand, pos FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY hi, lo, strand, pos) AS place FROM w) WHERE place = 1"),
+    "kth_smallest_kmer": (kth_smallest_kmer, f"WITH {READS}, {_sketch_sql(15, nth=3)} SELECT read_id, h, strand, pos FROM sketch"),
+    "canonical_minimizer": (canonical_minimizer, None),
+    "wk_minimizers": (wk_minimizers, None),
+    "sketch_schedule": (sketch_schedule, None),
+    "cluster_sizes": (cluster_sizes, f"WITH {READS}, {_sketch_sql(15)} SELECT h, count(*) AS n FROM sketch GROUP BY h HAVING count(*) >= 2"),
+    "cluster_index": (cluster_index, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT h, pos, read_id, CAST(rn AS INTEGER) AS rn, CAST(gs AS INTEGER) AS gs FROM n WHERE cn >= 2"),
+    "hamming_edges": (_of_kind("hamming"), f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, shift, dif, isrc FROM flat WHERE kind = 'hamming' AND dif > 0 AND dif < 90"),
+    "shift_edges": (_of_kind("shift"), f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, shift, dif, isrc FROM flat WHERE kind = 'shift' AND dif > 0 AND dif < 90"),
+    "top5_edges": (_edges_k15, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT * FROM top5"),
+    "deduplicated_edges": (deduplicated_edges, f"WITH {DISTINCT}, {_sketch_sql(15, source='uniq')}, {EDGES} SELECT * FROM top5"),
+    "schedule_edges": (schedule_edges, None),
+    "zero_weight_pairs": (zero_weight_pairs, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, isrc FROM flat WHERE dif = 0"),
+    "edge_weight_hist": (edge_weight_hist, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT dif, count(*) AS n FROM top5 GROUP BY dif"),
+    "components": (components, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT node, root FROM comps"),
+    "component_sizes": (component_sizes, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS n FROM comps GROUP BY root"),
+    "msf_total_weight": (msf_total_weight, None),
+    "forest_nodes": (forest_nodes, None),
+    "forest_invariants": (forest_invariants, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS nodes, true AS is_tree, true AS rooted_low FROM comps GROUP BY root"),
+    "singletons": (singletons, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT rid FROM top5 UNION SELECT prid FROM top5)"),
+    "delta_roundtrip": (delta_roundtrip, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, true AS same FROM top5"),
+    "delta_length_bound": (delta_length_bound, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, true AS bounded FROM top5"),
+    "order_newid": (order_newid, f"WITH {DISTINCT} SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS newid FROM uniq"),
+    "dup_groups": (dup_groups, f"WITH {READS}, named AS (SELECT read_id, seq, {CANON} AS canon FROM reads), r AS (SELECT read_id, seq, min(read_id) OVER w AS rep_id, first_value(seq) OVER (PARTITION BY canon ORDER BY read_id) AS rep FROM named WINDOW w AS (PARTITION BY canon)) SELECT rep_id, read_id, CAST(seq <> rep AS INTEGER) AS isrc FROM r WHERE rep_id <> read_id"),
+    "dup_counts": (dup_counts, f"WITH {READS}, named AS (SELECT read_id, seq, {CANON} AS canon FROM reads), r AS (SELECT read_id, seq, min(read_id) OVER w AS rep_id, first_value(seq) OVER (PARTITION BY canon ORDER BY read_id) AS rep FROM named WINDOW w AS (PARTITION BY canon)) SELECT rep_id, count(*) FILTER (seq = rep) AS forward, count(*) FILTER (seq <> rep) AS backward FROM r WHERE rep_id <> read_id GROUP BY rep_id"),
+    "mate_distance": (mate_distance, f"WITH {PAIRS}, b AS (SELECT pair_id, 0 AS file, mate1 AS seq FROM pairs UNION ALL SELECT pair_id, 1, mate2 FROM pairs), s AS (SELECT pair_id, row_number() OVER (ORDER BY seq, pair_id, file) - 1 AS slot FROM b), e AS (SELECT pair_id, min(slot) AS l, max(slot) AS r FROM s GROUP BY pair_id) SELECT x.pair_id, CAST(x.r - x.l - (SELECT count(*) FROM e y WHERE y.l < x.l AND y.r > x.l AND y.r < x.r) AS INTEGER) AS dist FROM e x"),
+    "mate_lookup": (mate_lookup, f"WITH {PAIRS}, c AS (SELECT count(*) AS n FROM pairs), i AS (SELECT unnest(range(0, 2 * n)) AS read_id, n FROM c) SELECT read_id, CASE WHEN read_id < n THEN read_id + n ELSE read_id - n END AS mate_id FROM i"),
+    "paired_edge_weight": (paired_edge_weight, f"WITH {PAIRS} SELECT pair_id, CAST(3 * hamming(substr(mate1, 61, 40), substr({RC.format('short2')}, 1, 40)) + greatest(60, 40) AS INTEGER) AS dif FROM pairs"),
+    "pair_concat": (pair_concat, f"WITH {PAIRS}, i AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS k, count(*) OVER () AS n FROM pairs) SELECT k AS read_id, mate1 AS seq FROM i UNION ALL SELECT k + n, mate2 FROM i"),
+    "read_length_check": (read_length_check, f"WITH {READS} SELECT CAST(length(seq) AS INTEGER) AS length, count(*) AS n FROM reads GROUP BY 1"),
+    "codec_choice": (codec_choice, f"WITH {READS} SELECT DISTINCT CAST(read_id // 100000 AS BIGINT) AS block, true AS same, true AS smaller FROM reads"),
+    "archive_roundtrip_se": (_archive(False, False), f"WITH {READS} SELECT seq FROM reads"),
+    "archive_roundtrip_se_ord": (_archive(True, False), f"WITH {READS} SELECT read_id, seq FROM reads"),
+    "archive_roundtrip_pe": (_archive(False, True), f"WITH {PAIRS} SELECT mate1, mate2 FROM pairs"),
+    "archive_roundtrip_pe_ord": (_archive(True, True), f"WITH {PAIRS} SELECT pair_id, mate1, mate2 FROM pairs"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

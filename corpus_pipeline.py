@@ -21,24 +21,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches one half go; all others stay as they are."""
+    docs = docs.select(*COLUMNS)
     scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the kept one stays."""
+    docs = docs.select(*COLUMNS)
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the smallest id stays."""
+    docs = docs.select(*COLUMNS)
     kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole: sources beyond their target lose documents, others repeat."""
+    docs = docs.select(*COLUMNS)
     copies = mix(docs).select(F.col("doc_id").alias("mixed_id"), whole_copies().alias("copies")).where("copies > 0")
     copies = copies.groupBy("mixed_id").agg(F.max("copies").alias("copies"))
     rows = docs.join(copies, docs.doc_id.eqNullSafe(copies.mixed_id))
@@ -50,6 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_digests(docs)
 
 
+#: Every stage drops columns beyond those of documents, takes null texts as empty and null ids as rows like others.
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),

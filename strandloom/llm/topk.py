@@ -137,7 +137,7 @@ def _home(k: int) -> Callable:
 
 def _away(k: int) -> Callable:
     def run(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        return _answer(data, ask, k)
+        return _answer(data, ask.rename(columns={"sought": "vec"}), k)
 
     return run
 
@@ -164,9 +164,9 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         full = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
         ask = rows.where("asks").withColumnRenamed("vec_id", "query_id").join(full, "query_id", "left").withColumn("kth", F.coalesce("low", F.lit(NONE)))
         ask = ask.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> shard")
-        ask = ask.select(F.col("to").alias("shard"), "block", "query_id", "vec", "kth")
+        ask = ask.select(F.col("to").alias("at_shard"), F.col("block").alias("at_block"), F.col("query_id").alias("query_id"), F.col("vec").alias("sought"), "kth")
         data = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vec")
-        more = data.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(_away(k), FOUND)
+        more = data.groupBy("shard", "block").cogroup(ask.groupBy("at_shard", "at_block")).applyInPandas(_away(k), FOUND)
         found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,8 +7,9 @@ at the same distance from the anchor are sorted as suffixes by a mergesort that
 hashes and binary search for the common extension, and neighbours that share SPAN bytes are verified byte by byte.
 
 An anchor with more than MOST_TEXTS different texts (the rim of a passage that very many documents share) goes another,
-equally exact way: windows are halved by their distance from the anchor again and again; texts that share the bytes
-common to all windows of a part are counted by aggregation, lone ones drop out, and parts on which all agree are done.
+equally exact way. One text of the group is its head, and each other one's common extensions with it, leftwards and
+rightwards, say which windows they share. All windows beyond them hold the first byte that differs, so texts that share
+such a window have the same extension and the same byte there: these name the smaller group in which the rest goes on.
 """
 
 from __future__ import annotations
@@ -216,13 +217,13 @@ def _by_bytes(x: np.ndarray, at: np.ndarray, begin: np.ndarray, ordered: np.ndar
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by anchor; anchors are worked off many at a time."""
+    """Rows of ROW arrive sorted by group; groups are worked off many at a time."""
     rows: list[tuple] = []
     size = 0
 
     def work(some: list[tuple]) -> Iterator[pa.RecordBatch]:
-        flags = repeated_windows([r[4] for r in some], np.array([r[2] for r in some]), np.array([r[3] for r in some]), np.array([r[0] for r in some]))
-        out = [(r[1], int(lo), int(hi)) for r, f in zip(some, flags, strict=True) if r[5] == 1 for lo, hi in _spans(f)]
+        flags = repeated_windows([r[5] for r in some], np.array([r[3] for r in some]), np.array([r[4] for r in some]), np.array([r[0] for r in some]))
+        out = [(r[1], r[2] + int(lo), r[2] + int(hi)) for r, f in zip(some, flags, strict=True) if r[6] == 1 for lo, hi in _spans(f)]
         if out:
             sid, lo, hi = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["sid", "lo", "hi"])
@@ -233,7 +234,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield from work(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += row[3]
+            size += row[4]
     if rows:
         yield from work(rows)
 
@@ -244,31 +245,67 @@ def _spans(flags: np.ndarray) -> np.ndarray:
     return np.stack((edge[::2], edge[1::2] - 1), axis=1)
 
 
-def _halved(texts: DataFrame) -> DataFrame:
-    """(sid, lo, hi) of repeated windows, for texts(anchor, sid, away, windows, seg, copies) of crowded anchors.
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning, by binary search over slices."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) >> 1
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
-    d is a window's distance to the anchor behind it; a part holds the windows with at <= d < at + size. `core` are the
-    bytes that all windows of a part contain, `reach` those that any of them contains, where the text has them all.
-    """
-    done, size = None, 128
-    state = durable(texts.withColumn("at", F.explode(F.array(F.lit(0), F.lit(size)))))
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ROW, each with its group's head: windows shared with it (lo, hi set), and what goes on in a smaller group."""
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+    for b in batches:
+        out, seen = [], set()
+        for group, sid, base, away, windows, seg, copies, head in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (sid, base) == (head["sid"], head["base"]):
+                continue
+            back = _common(seg[:away][::-1], head["seg"][: head["away"]][::-1])
+            ahead = _common(seg[away:], head["seg"][head["away"] :])
+            # A window at distance d takes d bytes before the anchor and SPAN - d from it on.
+            least, most = away - windows + 1, away
+            lo, hi = max(least, SPAN - ahead, head["away"] - head["windows"] + 1), min(most, back, head["away"])
+            if lo <= hi:
+                if copies == 1:
+                    out.append((None, sid, None, None, None, None, None, base + away - hi, base + away - lo))
+                mark = (head["sid"], head["base"] + head["away"] - hi, head["base"] + head["away"] - lo)
+                if head["copies"] == 1 and mark not in seen:
+                    seen.add(mark)
+                    out.append((None, mark[0], None, None, None, None, None, mark[1], mark[2]))
+            for side, lo, hi, end in ((0, max(least, back + 1), most, back), (1, least, min(most, back, SPAN - ahead - 1), ahead)):
+                if lo <= hi:
+                    byte = seg[away - back - 1] if side == 0 else seg[away + ahead]
+                    name = hashlib.blake2b(b"%d %d %d %d" % (group, side, end, byte), digest_size=8).digest()
+                    cut = away - hi
+                    out.append((int.from_bytes(name, "little", signed=True), sid, base + cut, hi, hi - lo + 1, seg[cut : away - lo + SPAN], copies, None, None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["grp", "sid", "base", "away", "windows", "seg", "copies", "lo", "hi"])
+
+
+ROW = ("grp", "sid", "base", "away", "windows", "seg", "copies")
+FOUND = "sid binary, lo int, hi int"
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """(sid, lo, hi) of the windows of single texts that start again in their group, for rows of ROW."""
+    found = None
     while True:
-        state = state.where((F.col("at") <= F.col("away")) & (F.col("at") + size > F.col("away") - F.col("windows") + 1))
-        whole = (F.col("at") + size - 1 <= F.col("away")) & (F.col("at") >= F.col("away") - F.col("windows") + 1)
-        core = F.expr(f"substring(seg, cast(away - at + 1 as int), {SPAN - size + 1})")
-        reach = F.expr(f"substring(seg, cast(away - (at + {size - 1}) + 1 as int), {SPAN + size - 1})")
-        keyed = state.withColumn("core", F.md5(core)).withColumn("reach", F.when(whole, F.md5(reach)).otherwise(F.hex("sid")))
-        groups = keyed.groupBy("anchor", "at", "core").agg(F.sum("copies").alias("total"), F.min("copies").alias("fewest"), F.min("reach").alias("low"), F.max("reach").alias("high"))
-        groups = groups.where("total > 1 and fewest = 1")
-        after = durable(keyed.join(groups, ["anchor", "at", "core"]).drop("core", "reach", "total", "fewest"))
-        discard(state)
-        found = after.where("low = high and copies = 1").select("sid", (F.col("away") - F.col("at") - size + 1).cast("int").alias("lo"), (F.col("away") - F.col("at")).cast("int").alias("hi"))
-        done = found if done is None else done.unionByName(found)
-        if size == 1:
-            return done
-        size //= 2
-        rest = after.where("low <> high").drop("low", "high")
-        state = durable(rest.withColumn("at", F.explode(F.array(F.col("at"), F.col("at") + size))))
+        head = F.min(F.struct("sid", "base", "away", "windows", "copies", "seg")).alias("head")
+        groups = rows.groupBy("grp").agg(F.count("*").alias("texts"), F.min("copies").alias("fewest"), head).where("texts > 1 and fewest = 1")
+        joined = durable(rows.join(groups.withColumn("head", F.when(F.col("texts") > MOST_TEXTS, F.col("head"))), "grp").select(*ROW, "texts", "head"))
+        small = joined.where(F.col("texts") <= MOST_TEXTS).select(*ROW).repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_groups, FOUND)
+        found = small if found is None else found.unionByName(small)
+        large = joined.where(F.col("texts") > MOST_TEXTS)
+        if large.isEmpty():
+            return found
+        split = durable(large.select(*ROW, "head").mapInArrow(_against, "grp long, sid binary, base int, away int, windows int, seg binary, copies long, lo int, hi int"))
+        found = found.unionByName(split.where("grp is null").select("sid", "lo", "hi").distinct())
+        rows = split.where("grp is not null").select(*ROW)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,13 +354,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(anchors)
 
     folded = durable(segments.groupBy("anchor", "sid", "away", "windows", "seg").agg(F.count("*").alias("copies")))
-    crowd = folded.groupBy("anchor").agg(F.count("*").alias("texts"), F.min("copies").alias("fewest")).where("texts > 1 and fewest = 1")
-    crowd = folded.join(crowd, "anchor").select("anchor", "sid", "away", "windows", "seg", "copies", "texts")
-    small = crowd.where(F.col("texts") <= MOST_TEXTS).drop("texts").repartition("anchor").sortWithinPartitions("anchor")
-    found = small.mapInArrow(_sorted_groups, "sid binary, lo int, hi int")
-    large = durable(crowd.where(F.col("texts") > MOST_TEXTS).drop("texts"))
-    if not large.isEmpty():
-        found = found.unionByName(_halved(large))
+    found = _repeats(folded.select(F.col("anchor").alias("grp"), "sid", F.lit(0).alias("base"), "away", "windows", "seg", "copies"))
     found = found.unionByName(folded.where("copies > 1").select("sid", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi")))
 
     spans = segments.select("sid", "rid", "start").join(found, "sid").select("rid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + SPAN).alias("hi"))

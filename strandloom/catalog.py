@@ -67,6 +67,10 @@ def _sketch_sql(k: int, kind: str = "min", nth: int = 1, source: str = "reads")
     return f"{_strands_sql(k, source)}, hs AS ({_hash_sql(f'SELECT *, {_value_sql("kmer")} AS v FROM km', k)}), sketch AS (SELECT read_id, h, strand, pos, s FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY {order}, strand, pos) AS place FROM hs) WHERE place = {nth})"
 
 
+def _wide_sql(down: str = "") -> str:
+    return f"{_strands_sql(40)}, w AS ({_hash_sql(_hash_sql(f'SELECT *, {_value_sql("substr(kmer, 10, 31)")} AS v, {_value_sql("substr(kmer, 1, 9)")} AS u FROM km', 31, 'v', 'lo'), 9, 'u', 'hi')}) SELECT read_id, hi, lo, strand, pos FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY hi{down}, lo{down}, strand, pos) AS place FROM w) WHERE place = 1"
+
+
 EDGES = """n AS (SELECT *, count(*) OVER (PARTITION BY h) AS cn, row_number() OVER (PARTITION BY h ORDER BY pos DESC, read_id) AS rn, rank() OVER (PARTITION BY h ORDER BY pos DESC) AS gs FROM sketch),
 cand AS (SELECT a.read_id AS probe, b.read_id AS found, CASE WHEN a.pos = b.pos THEN 'hamming' ELSE 'shift' END AS kind, b.pos - a.pos AS gap, b.strand AS bs, CAST(a.strand <> b.strand AS INTEGER) AS isrc,
   3 * hamming(substr(b.s, 1 + b.pos - a.pos, 100), substr(a.s, 1, length(a.s) - (b.pos - a.pos))) + b.pos - a.pos AS dif
@@ -137,8 +141,8 @@ def _minimizer(k, kind):
     return lambda spark, sf: sk.minimizers(_reads(spark, sf), k, kind)
 
 
-def wide_minimizer_k40(spark, sf):
-    return sk.wide_minimizers(_reads(spark, sf), 40)
+def _wide_minimizer(kind):
+    return lambda spark, sf: sk.wide_minimizers(_reads(spark, sf), 40, kind)
 
 
 def kth_smallest_kmer(spark, sf):
@@ -254,9 +258,7 @@ def _slots(spark, sf):
     """Slots in order of the mates' texts; ids break ties."""
     rows = src.document_pairs(_documents(spark, sf))
     both = rows.select("pair_id", F.lit(0).alias("file"), F.col("mate1").alias("seq")).unionByName(rows.select("pair_id", F.lit(1).alias("file"), F.col("mate2").alias("seq")))
-    from pyspark.sql import Window
-
-    both = both.withColumn("slot", F.row_number().over(Window.orderBy("seq", "pair_id", "file")) - 1)
+    both = graph.in_order(both, ("seq", "pair_id", "file"), "slot")
     return both.groupBy("pair_id").agg(F.min("slot").alias("l"), F.max("slot").alias("r"))
 
 
@@ -297,14 +299,14 @@ def codec_choice(spark, sf):
     return rows.select("block", (codec.decompress(F.col("best.data"), F.col("best.codec")) == F.col("raw")).alias("same"), (F.octet_length("best.data") < F.octet_length("raw")).alias("smaller"))
 
 
-def _archive(ordered: bool, paired: bool):
+def _archive(ordered: bool, paired: bool, second: int = 100):
     def run(spark, sf):
         path = f"{checkpoint_folder(spark) if not spark.sparkContext.master.startswith('local[') else tempfile.mkdtemp()}/archive-{uuid.uuid4().hex}"
         docs = _documents(spark, sf)
         if not paired:
             archive.write(src.document_reads(docs), path, ordered)
         else:
-            rows = durable(src.document_pairs(docs))
+            rows = durable(src.document_pairs(docs, second))
             top = rows.agg(F.max("pair_id")).first()[0] or 0
             ends = rows.select("pair_id", F.col("pair_id").alias("first_id"), (F.col("pair_id") + top + 1).alias("second_id"))
             both = rows.select(F.col("pair_id").alias("read_id"), F.col("mate1").alias("seq")).unionByName(rows.select((F.col("pair_id") + top + 1).alias("read_id"), F.col("mate2").alias("seq")))
@@ -326,7 +328,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "minimizer_k15": (_minimizer(15, "min"), f"WITH {READS}, {_sketch_sql(15)} SELECT read_id, h, strand, pos FROM sketch"),
     "minimizer_k31": (_minimizer(31, "min"), f"WITH {READS}, {_sketch_sql(31)} SELECT read_id, h, strand, pos FROM sketch"),
     "maximizer_k15": (_minimizer(15, "max"), f"WITH {READS}, {_sketch_sql(15, 'max')} SELECT read_id, h, strand, pos FROM sketch"),
-    "wide_minimizer_k40": (wide_minimizer_k40, f"WITH {READS}, {_strands_sql(40)}, w AS ({_hash_sql(_hash_sql(f'SELECT *, {_value_sql("substr(kmer, 10, 31)")} AS v, {_value_sql("substr(kmer, 1, 9)")} AS u FROM km', 31, 'v', 'lo'), 9, 'u', 'hi')}) SELECT read_id, hi, lo, strand, pos FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY hi, lo, strand, pos) AS place FROM w) WHERE place = 1"),
+    "wide_minimizer_k40": (_wide_minimizer("min"), f"WITH {READS}, {_wide_sql()}"),
+    "wide_maximizer_k40": (_wide_minimizer("max"), f"WITH {READS}, {_wide_sql(' DESC')}"),
     "kth_smallest_kmer": (kth_smallest_kmer, f"WITH {READS}, {_sketch_sql(15, nth=3)} SELECT read_id, h, strand, pos FROM sketch"),
     "canonical_minimizer": (canonical_minimizer, None),
     "wk_minimizers": (wk_minimizers, None),
@@ -361,6 +364,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "archive_roundtrip_se_ord": (_archive(True, False), f"WITH {READS} SELECT read_id, seq FROM reads"),
     "archive_roundtrip_pe": (_archive(False, True), f"WITH {PAIRS} SELECT mate1, mate2 FROM pairs"),
     "archive_roundtrip_pe_ord": (_archive(True, True), f"WITH {PAIRS} SELECT pair_id, mate1, mate2 FROM pairs"),
+    "archive_roundtrip_pe_uneven": (_archive(False, True, 80), f"WITH {PAIRS} SELECT mate1, short2 AS mate2 FROM pairs"),
+    "archive_roundtrip_pe_uneven_ord": (_archive(True, True, 80), f"WITH {PAIRS} SELECT pair_id, mate1, short2 AS mate2 FROM pairs"),
 }
 
 

@@ -69,10 +69,16 @@ def rooted(forest: DataFrame) -> DataFrame:
     return forest.join(roots, forest.rid == roots.node).select("rid", "prid", "shift", "isrc", "root").groupBy("root").applyInPandas(_walk, FOREST)
 
 
-def new_ids(rows: DataFrame, flag: str, blocks: int = 64) -> DataFrame:
-    """Dense numbers in order of read_id of the rows with `flag`, by prefix sums of block totals."""
-    ranged = durable(rows.repartitionByRange(blocks, "read_id").withColumn("block", F.spark_partition_id()))
-    totals = ranged.groupBy("block").agg(F.sum(F.col(flag).cast("int")).alias("n"))
+def in_order(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+    """rows with dense numbers from 0 in order of `columns`, by prefix sums of block totals: no task sorts all rows."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(rows.repartitionByRange(blocks, *columns).withColumn("block", F.spark_partition_id()))
+    totals = ranged.groupBy("block").agg(F.count("*").alias("n"))
     before = totals.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.sum(F.col(flag).cast("int")).over(Window.partitionBy("block").orderBy("read_id"))
-    return ranged.withColumn("own", own).join(before, "block").where(flag).select("read_id", (F.col("before") + F.col("own") - 1).cast("long").alias("newid"))
+    own = F.row_number().over(Window.partitionBy("block").orderBy(*columns))
+    return ranged.withColumn("own", own).join(before, "block").select(*rows.columns, (F.col("before") + F.col("own") - 1).cast("long").alias(name))
+
+
+def new_ids(rows: DataFrame, flag: str) -> DataFrame:
+    """Dense numbers in order of read_id of the rows with `flag`."""
+    return in_order(rows.where(flag).select("read_id"), ("read_id",), "newid")

@@ -88,6 +88,21 @@ def test_fastx_files(spark, tmp_path):
         list(src.parse_records(iter(["@r", "ACGT", "+", "II"])))
 
 
+def test_four_line_fastq(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@r1 x\nACGT\n+\nIIII\n@r2\nTTTA\n+r2\nI@II\n")
+    rows = src.read_four_line_fastq(spark, str(tmp_path / "a.fq")).collect()
+    assert [tuple(r) for r in rows] == [("r1 x", "ACGT", "IIII"), ("r2", "TTTA", "I@II")]
+    (tmp_path / "b.fq").write_text("@r1\nACGT\n+\n@III\n@r2\nTTTA\n+\nIIII\n")
+    with pytest.raises(Exception, match="no record of four lines"):
+        src.read_four_line_fastq(spark, str(tmp_path / "b.fq")).collect()
+
+
+def test_numbers_in_order(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as a", "id as b").repartition(5)
+    got = gr.in_order(rows, ("a", "b"), "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1000)) and [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in got)
+
+
 def test_unsound_reads_fail(spark):
     reads = spark.createDataFrame([(0, "ACGT"), (1, "ACG")], "read_id long, seq string")
     with pytest.raises(Exception, match="unsound"):
@@ -112,7 +127,7 @@ def test_components_of_a_long_path(spark):
     assert {roots[i] for i in range(201)} == {0} and roots[501] == 500
 
 
-@pytest.mark.parametrize("name", ["reverse_complement", "kmer_hash", "minimizer_k31", "wide_minimizer_k40", "top5_edges", "dup_groups", "mate_distance", "order_newid", "delta_roundtrip"])
+@pytest.mark.parametrize("name", ["reverse_complement", "kmer_hash", "minimizer_k31", "wide_minimizer_k40", "wide_maximizer_k40", "top5_edges", "dup_groups", "mate_distance", "order_newid", "delta_roundtrip", "archive_roundtrip_se", "archive_roundtrip_pe", "archive_roundtrip_pe_uneven", "archive_roundtrip_pe_uneven_ord"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -82,7 +82,7 @@ class Lexicon:
         """Summed weight and weight per 100 words, both on a log scale. Of overlapping matches the longest counts."""
         folded = " " + fold(text) + " "
         covered: dict[int, tuple[int, float]] = {}
-        blocked: list[tuple[int, int]] = []
+        blocked: set[int] = set()
         found = list(self.machine.iter(folded))
         if len(self.plain) and not folded.isascii():
             found += self.plain.iter(folded.translate(ACCENTS))
@@ -90,10 +90,10 @@ class Lexicon:
             whole = folded[end] == " "
             start = end - n + (0 if whole else 1)
             if w is None:
-                blocked.append((start, start + n))
+                blocked.update(range(start, start + n))
             elif start not in covered or covered[start][0] < n:
                 covered[start] = (n, w)
-        total = sum(w for s, (_, w) in covered.items() if not any(a <= s < b for a, b in blocked))
+        total = sum(w for s, (_, w) in covered.items() if s not in blocked)
         words = len(folded.split())
         return math.log1p(total), math.log1p(100.0 * total / (words + 20))
 

@@ -22,9 +22,11 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 ROWS_A_BUCKET = 4000
 SHARD_WORDS = 4_000_000
-#: The splitting tree runs on the driver over sources x shards numbers; shards grow in length beyond these many.
+#: The splitting tree runs on the driver over sources x shards numbers, MOST_CUTS at most; shards grow in length beyond
+#: these many.
 MOST_SHARDS = 1024
 MOST_SOURCES = 65_536
+MOST_CUTS = 1_000_000
 
 
 def source_targets(totals: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def _cuts(docs: DataFrame, shares: list[tuple[str, int]], shard_words: int, seed: int) -> DataFrame:
     """(key, cuts): word offsets in the source's stream at which one shard ends and the next begins."""
     total = sum(w for _, w in shares)
-    shards = int(min(MOST_SHARDS, max(1, -(-total // shard_words))))
+    shards = int(min(MOST_SHARDS, max(1, MOST_CUTS // max(1, len(shares))), max(1, -(-total // shard_words))))
     block = max(256, -(-total // 500_000_000))
     quotas = np.array([-(-w // block) for _, w in shares], np.int64)
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=1) * block

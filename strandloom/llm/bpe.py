@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Bounds of a worker's memory; what is dropped beyond them is worked out again.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
+MOST_BORDERS = 250_000
 LONG_WORD = 64
-TEXTS = 2000
+TEXTS = 1000
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 TWO_SPACES = re.compile(r"\s\s")
 
@@ -89,7 +90,7 @@ class TrieEncoder:
                 if self.halves[b][0] == b:
                     break
                 limit, b = b + 1, self.halves[b][0]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > MOST_BORDERS:
             self.fits.clear()
         self.fits[first, second] = answer
         return answer

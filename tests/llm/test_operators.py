@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from strandloom.llm import substring_dedup as sub
 from strandloom.llm import suffix_dedup as sd
 from strandloom.llm.bpe import bpe_digests, default_tokenizer
 from strandloom.llm.exact_dedup import exact_dedup, grace
@@ -230,3 +231,27 @@ def test_substring_dedup(docs, none):
     assert [(s.lo, s.hi) for s in a.spans] == [(30, 110)] and [(s.lo, s.hi) for s in b.spans] == [(20, 100)]
     assert [(s.lo, s.hi) for s in rows[25].spans] == [(0, 60)] and rows[55].spans == []
     assert LEAST == 46 and substring_dedup(none).count() == 0
+
+
+def covered(row, lo, hi):
+    return any(s.lo <= lo and hi <= s.hi for s in row.spans)
+
+
+@pytest.mark.parametrize("most", [128, 1])
+def test_substring_dedup_links_all_pairs(spark, most, monkeypatch):
+    """Equal passages of a crowd that holds their phrases elsewhere, against all pairs by brute force."""
+    monkeypatch.setattr(sub, "MOST_WINDOWS", most)
+    shared = [prose(60, 1000 + k) for k in range(3)]
+    texts = [f"{prose(30, 2000 + i)} {shared[i % 3]} {prose(30, 3000 + i)}" for i in range(6)]
+    for k, p in enumerate(shared):
+        w = p.split()
+        texts += [f"{prose(45, 100_000 * (k + 1) + 1000 * j + m)} {' '.join(w[j : j + 9])}" for j in range(0, 52, 4) for m in range(300)]
+    got = {r.doc_id: r for r in substring_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    at = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            at.setdefault(tuple(w[j : j + 50]), []).append((i, j))
+    pairs = [(x, y) for held in at.values() for x in held for y in held if x[0] < y[0]]
+    assert len({(x[0], y[0]) for x, y in pairs}) == 3
+    assert all(got[x[0]].class_id == got[y[0]].class_id and covered(got[x[0]], x[1], x[1] + 50) and covered(got[y[0]], y[1], y[1] + 50) for x, y in pairs)

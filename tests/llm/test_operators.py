@@ -255,3 +255,18 @@ def test_substring_dedup_links_all_pairs(spark, most, monkeypatch):
     pairs = [(x, y) for held in at.values() for x in held for y in held if x[0] < y[0]]
     assert len({(x[0], y[0]) for x, y in pairs}) == 3
     assert all(got[x[0]].class_id == got[y[0]].class_id and covered(got[x[0]], x[1], x[1] + 50) and covered(got[y[0]], y[1], y[1] + 50) for x, y in pairs)
+
+
+def one_changed(k):
+    """Two texts around a passage of 50 words of which one, k % 50, is another word."""
+    w = prose(50, 20_000 + k).split()
+    v = [*w[: k % 50], "changed", *w[k % 50 + 1 :]]
+    return [f"{prose(40, 30_000 + k)} {' '.join(w)} {prose(40, 40_000 + k)}", f"{prose(20, 50_000 + k)} {' '.join(v)} {prose(60, 60_000 + k)}"]
+
+
+def test_substring_dedup_recall_near_the_threshold(spark):
+    rows = [(2 * k + j, t, "s") for k in range(500) for j, t in enumerate(one_changed(k))]
+    got = {r.doc_id: r for r in substring_dedup(table(spark, rows)).collect()}
+    found = sum(got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k for k in range(500))
+    print("found", found, "of 500")
+    assert found >= 495

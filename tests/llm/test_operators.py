@@ -270,3 +270,9 @@ def test_substring_dedup_recall_near_the_threshold(spark):
     found = sum(got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k for k in range(500))
     print("found", found, "of 500")
     assert found >= 495
+
+
+def test_substring_dedup_covers_every_occurrence(spark):
+    texts = [f"{prose(30, 71)} {SHARED} {prose(50, 72)} {SHARED} {prose(9, 73)}", f"{prose(20, 74)} {SHARED} {prose(20, 75)}"]
+    got = {r.doc_id: r for r in substring_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [(s.lo, s.hi) for s in got[0].spans] == [(30, 110), (160, 240)] and [(s.lo, s.hi) for s in got[1].spans] == [(20, 100)]

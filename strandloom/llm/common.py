@@ -61,8 +61,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a durable() result that nothing reads any more."""
+    """Delete the files of a durable() result that nothing reads any more.
+
+    A collection on the driver lets Spark's cleaner drop the shuffle files of the writes before it as well.
+    """
     spark = df.sparkSession
+    spark._jvm.System.gc()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/strandloom-" in folder:
             where = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -141,17 +141,17 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return local.repartition("text").mapInArrow(_folder(table_bytes, True), GROUPS.replace("text ", "text_sha256 "))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 (and the input columns named in `keep`).
 
     Texts are equal when identical after deletion of the six ASCII spaces; the one with the most code points in the
     original text stays, then the smallest id. Null text counts as empty; empty texts form one group. A null id loses
     every tie and is its own keep_id only if all ids of the group are null. Repeated rows count in group_size; those
     that share the kept id and its length are all marked kept. Further columns of the input, whatever their names, are
-    not read. An empty table gives an empty result.
+    not read unless kept. An empty table gives an empty result.
     """
     text = text_or_empty(text_col)
     sha = F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("points"), sha.alias("text_sha256"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("points"), sha.alias("text_sha256"), *keep)
     groups = text_groups(docs, id_col, text_col, table_bytes)
-    return rows.join(groups, "text_sha256").select("doc_id", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("points") == F.col("best_points"))).alias("kept"), "text_sha256")
+    return rows.join(groups, "text_sha256").select("doc_id", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("points") == F.col("best_points"))).alias("kept"), "text_sha256", *keep)

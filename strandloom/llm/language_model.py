@@ -1,14 +1,22 @@
 """Language-model scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Words fall into classes: the end of a text, the most frequent training words, and one class for all others. The model
-predicts a class from the two classes before it: logit(w) = b_w + q_w . (c1 * r_prev + c2 * r_prevprev). It is trained
-on the counts of class triples over all training tokens (a table bounded by classes cubed): each round, every partition
-descends the noise-contrastive loss from common parameters, and the results are averaged. Matrix products over all
-pairs of context classes give the normalisers, so token probabilities sum to one. A word of the last class is weighed
-by its smoothed share of that class, as counted over the whole corpus.
-
-Word counts never meet in one place: documents are grouped by input split, a group lists its distinct words once, a
-window over each word adds the counts of all groups, and each group gets back the counts of its own words only.
+A token's probability is that of its class, given the two classes before it, times its word's share of the class. The
+log-bilinear model is over the classes: logit(w) = b_w + q_w . (c1 * r_prev + c2 * r_prevprev), with its normalisers
+from matrix products over all pairs of context classes, so the probabilities of all words of the corpus, of the end
+and of an unknown word sum to one.
+
+Every word of the corpus has a class and a share. The most frequent words are classes of their own; all others fall
+into classes by the group of documents they mostly occur in and by the power of two of their count. Document groups
+come from the frequent words, clustered by the documents that they share. A training token counts as if it had not
+been seen itself: one of a word with count n has the class of a count of n - 1, and none left means unknown. So the
+model learns from the corpus how often unknown and rare words come.
+
+All training tokens take part in each round: every partition descends the noise-contrastive loss over its own token
+triples, weighted by their counts, from common parameters, and the results are averaged by an aggregation.
+
+Words never meet in one place: rows are dealt to groups of about GROUP_BYTES, a group lists its distinct words once, an
+aggregation counts them, and the join back gives each group the counts of its own words only. The result is each
+text's class codes, from which training and scoring read without the texts.
 """
 
 from __future__ import annotations
@@ -19,87 +27,175 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, durable, ship, words_of
+from .common import crc_of_id, discard, durable, ship, words_of
 
-CLASSES = 256
-WIDTH = 24
-NOISE = 64
-ROUNDS = 4
-TRAIN_PARTITIONS = 4
-END, OTHER = 0, 1
+#: Frequent words that are classes of their own, document groups, and powers of two of a count.
+FREQUENT, GROUPS, BANDS = 190, 8, 24
+END, UNKNOWN, FIRST = 0, 1, 2
+#: Documents without frequent words form one more group.
+CLASSES = FIRST + FREQUENT + (GROUPS + 1) * BANDS
+WIDTH, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 3, 0.3
 SMOOTH = 0.1
 GROUP_BYTES = 4 << 20
 MOST_WORDS = 400_000
+#: Tokens that a trainer takes up at a time.
+CHUNK = 1 << 21
 
 
-def _groups(docs: DataFrame) -> Column:
-    """A name for the input split that a row is read from, cut further where splits are large."""
-    cut = max(1, int(_bytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))) // GROUP_BYTES)
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(cut)))
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, held_out, split), written, so that a row keeps its split in every later pass."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if not docs.inputFiles():
+        rows = durable(rows)
+    cut = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / GROUP_BYTES))
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.monotonically_increasing_id(), cut))
+    return durable(rows.select("doc_id", "text", split.alias("split")).withColumn("held_out", crc_of_id("doc_id") % 10 == 0))
 
 
-def _bytes(size: str) -> int:
-    size = size.lower().rstrip("b")
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    return int(size[:-1]) << units[size[-1]] if size[-1] in units else int(size)
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words that make up a ten-thousandth of what a task has read."""
+    counts: Counter = Counter()
 
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(split, word, n): n counts training rows; words that only other rows have get 0."""
-    held: dict[int, Counter] = {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for split, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([split] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["split", "word", "n"])
-        held.clear()
+    def out() -> pa.RecordBatch:
+        least = counts.total() / 10_000
+        kept = {w: n for w, n in counts.items() if n >= least}
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
 
     for b in batches:
-        for split, text, train in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            counts = held.setdefault(split, Counter())
-            if train:
-                counts.update(words_of(text))
-            else:
-                for w in set(words_of(text)):
-                    counts.setdefault(w, 0)
-            if len(counts) > MOST_WORDS:
-                yield from out()
-        if sum(map(len, held.values())) > MOST_WORDS:
-            yield from out()
-    yield from out()
+        for text in b.column(0).to_pylist():
+            counts.update(words_of(text))
+        if len(counts) > MOST_WORDS:
+            yield out()
+    yield out()
 
 
-def classes_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    get = known.get
-    return np.fromiter([*[get(w, OTHER) for w in words], END], np.int64, len(words) + 1)
+def frequent_words(texts: DataFrame) -> list[bytes]:
+    """At most FREQUENT words, the most frequent first, ties by bytes."""
+    rows = texts.mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in rows.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
-def contexts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before and the one before that; texts begin as if after an end."""
-    return np.concatenate(([END], c[:-1])), np.concatenate(([END, END], c[:-2]))[: len(c)]
+def _company(known) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pair, n): documents that hold both frequent words."""
+        names, met = known.value, np.zeros((FREQUENT, FREQUENT))
+        for b in batches:
+            there = np.zeros((b.num_rows, FREQUENT), np.float32)
+            for k, text in enumerate(b.column(0).to_pylist()):
+                there[k, [names[w] for w in set(words_of(text)) & names.keys()]] = 1
+            met += there.T @ there
+        pair = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(met.ravel()[pair].astype(np.int64))], names=["pair", "n"])
+
+    return run
 
 
-def _triples(known) -> Callable:
+def clustered(met: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Group of each frequent word: k-means over the leading eigenvectors of the scaled table of shared documents."""
+    own = np.maximum(np.diag(met), 1)
+    # Words shared by about as many documents as chance has it say nothing; so the mean goes first.
+    scaled = met / np.sqrt(np.outer(own, own))
+    value, vector = np.linalg.eigh(scaled - np.outer(np.sqrt(own), np.sqrt(own)) / own.max())
+    x = vector[:, np.argsort(-np.abs(value))[:groups]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[own.argmax()]]
+    while len(centres) < min(groups, len(x)):
+        centres.append(x[np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0).argmax()])
+    centres = np.array(centres)
+    for _ in range(20):
+        of = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[of == g].mean(axis=0) if (of == g).any() else centres[g] for g in range(len(centres))])
+    return of
+
+
+def word_groups(texts: DataFrame, names: list[bytes]) -> dict[bytes, int]:
+    known = {w: k for k, w in enumerate(names)}
+    sent = texts.sparkSession.sparkContext.broadcast(known)  # at most FREQUENT words
+    met = np.zeros(FREQUENT * FREQUENT)
+    for r in texts.mapInArrow(_company(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most FREQUENT squared
+        met[r.pair] = r.n
+    of = clustered(met.reshape(FREQUENT, FREQUENT)[: len(names), : len(names)]) if names else []
+    return {w: int(g) for w, g in zip(names, of, strict=True)}
+
+
+def _words(groups) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = known.value
+        """(split, word, grp, n): n counts training rows of one document group; words that only other rows have get 0."""
+        held: dict[tuple[int, int], Counter] = {}
+        group_of = groups.value
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (split, group), counts in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([split] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()), pa.array([group] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["split", "word", "grp", "n"])
+            held.clear()
+
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo in range(0, len(texts), 1000):
-                codes = []
-                for t in texts[lo : lo + 1000]:
-                    c = classes_of(words_of(t), names)
-                    p, pp = contexts(c)
-                    codes.append((pp * CLASSES + p) * CLASSES + c)
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n.astype(np.int64))], names=["code", "n"])
+            for split, text, train in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                words = words_of(text)
+                votes = Counter(group_of[w] for w in words if w in group_of)
+                group = min(votes, key=lambda g: (-votes[g], g)) if votes else GROUPS
+                counts = held.setdefault((split, group), Counter())
+                if train:
+                    counts.update(words)
+                else:
+                    for w in words:
+                        counts.setdefault(w, 0)
+            if sum(map(len, held.values())) > MOST_WORDS:
+                yield from out()
+        yield from out()
 
     return run
 
 
+def band_class(c: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Class of words with count c; a count of zero is unknown."""
+    band = np.minimum(BANDS - 1, np.ceil(np.log2(np.maximum(c, 1)))).astype(np.int64)
+    return np.where(c > 0, FIRST + FREQUENT + group * BANDS + band, UNKNOWN)
+
+
+def _coded(known, n: float, v: int, ends: int) -> Callable:
+    """Class codes of each text, as scored and as trained on, with the base score and the shares of the classes left out."""
+
+    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        own = {w: FIRST + k for k, w in enumerate(known.value)}
+        c, group = words["c"].to_numpy(np.float64), words["grp"].to_numpy(np.int64)
+        names = [bytes(w) for w in words["word"]]
+        single = np.array([own.get(w, -1) for w in names], np.int64).reshape(-1)
+        now = np.where((single >= 0) & (c > 0), single, band_class(c, group))
+        before = np.where((single >= 0) & (c > 1), single, band_class(c - 1, group))
+        at = {w: k for k, w in enumerate(names)}
+        c, now, before = np.append(c, ends), np.append(now, END), np.append(before, END)
+        logs, all_base, out = np.log10(c + SMOOTH), np.log10(n + SMOOTH * (v + 1)), []
+        count_logs = np.where((now != END) & (now != UNKNOWN), np.log10(np.maximum(c, 1)), 0.0)
+        for text, held in zip(docs["text"], docs["held_out"], strict=True):
+            k = np.array([*map(at.__getitem__, words_of(text)), len(at)], np.int64)
+            out.append((len(k), int((c[k] > 0).sum()), float(logs[k].sum() - len(k) * all_base), float(count_logs[k].sum()), now[k].astype("<i2").tobytes(), None if held else before[k].astype("<i2").tobytes()))
+        found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "counts_log", "codes", "train_codes"])
+        return found.assign(doc_id=docs["doc_id"].to_numpy(), held_out=docs["held_out"].to_numpy())
+
+    return run
+
+
+CODED = "n_tokens long, n_known long, base_score double, counts_log double, codes binary, train_codes binary, doc_id long, held_out boolean"
+
+
+def triples(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, the one before, the one before that, text) of all tokens; texts begin as if after an end."""
+    parts = [np.frombuffer(c, "<i2") for c in codes]
+    n = np.array([len(p) for p in parts], np.int64)
+    w = np.concatenate([*parts, np.zeros(0, "<i2")]).astype(np.int64)
+    p, pp = np.concatenate(([END], w[:-1])), np.concatenate(([END, END], w[:-2]))[: len(w)]
+    first = np.cumsum(n) - n
+    p[first], pp[first], pp[first[n > 1] + 1] = END, END, END
+    return w, p[: len(w)], pp, np.repeat(np.arange(len(n)), n)
+
+
 class LogBilinear:
-    """Parameters in one vector: b (classes), q and r (classes x width), c1 and c2 (width)."""
+    """Parameters: b (classes), q and r (classes x width), c1 and c2 (width)."""
 
     def __init__(self, classes: int = CLASSES, width: int = WIDTH, unigram: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(7)
@@ -107,6 +203,7 @@ class LogBilinear:
         self.b = np.log(unigram) if unigram is not None else np.zeros(classes)
         self.q, self.r = rng.normal(0, 0.1, (classes, width)), rng.normal(0, 0.5, (classes, width))
         self.c1, self.c2 = np.ones(width), np.full(width, 0.5)
+        self.square = [np.full_like(p, 1e-3) for p in self.parts()]
 
     def parts(self) -> list[np.ndarray]:
         return [self.b, self.q, self.r, self.c1, self.c2]
@@ -121,124 +218,153 @@ class LogBilinear:
             at += p.size
         return self
 
-    def train(self, code: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int, epochs: int = 2, batch: int = 2048, rate: float = 0.3) -> None:
-        """Noise-contrastive estimation over weighted triples; noise comes from the class unigram, NOISE draws a batch."""
-        rng, k = np.random.default_rng(seed), self.classes
-        w_all, p_all, pp_all = code % k, code // k % k, code // k // k
-        log_noise = np.log(NOISE * unigram)
-        square = [np.full_like(p, 1e-3) for p in self.parts()]
-        # Triples are drawn by their count, so that a batch is a sample of tokens.
-        share, tokens = np.cumsum(n) / n.sum(), int(min(n.sum(), 4 * len(n) + 20 * batch))
-        for _ in range(epochs * max(1, tokens // batch)):
-            at = np.searchsorted(share, rng.random(batch))
-            at = np.minimum(at, len(code) - 1)
-            w, p, pp = w_all[at], p_all[at], pp_all[at]
-            ctx = self.c1 * self.r[p] + self.c2 * self.r[pp]
-            noise = rng.choice(k, NOISE, p=unigram)
-            good = 1 / (1 + np.exp(-np.clip((self.q[w] * ctx).sum(1) + self.b[w] - log_noise[w], -30, 30))) - 1
-            bad = 1 / (1 + np.exp(-np.clip(ctx @ self.q[noise].T + self.b[noise] - log_noise[noise], -30, 30)))
-            d_ctx = good[:, None] * self.q[w] + bad @ self.q[noise]
-            g = [np.bincount(w, good, k), np.zeros_like(self.q), np.zeros_like(self.r), (d_ctx * self.r[p]).sum(0), (d_ctx * self.r[pp]).sum(0)]
-            g[0] += np.bincount(noise, bad.sum(0), k)
-            np.add.at(g[1], w, good[:, None] * ctx)
-            np.add.at(g[1], noise, bad.T @ ctx)
-            np.add.at(g[2], p, d_ctx * self.c1)
-            np.add.at(g[2], pp, d_ctx * self.c2)
-            for part, grad, sq in zip(self.parts(), g, square, strict=True):
-                grad /= batch
+    def train(self, w: np.ndarray, p: np.ndarray, pp: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int, batch: int = BATCH, rate: float = RATE) -> None:
+        """One pass of noise-contrastive estimation over all triples, each weighted by its count n; NOISE draws a batch."""
+        rng = np.random.default_rng(seed)
+        log_noise, share = np.log(NOISE * unigram), np.cumsum(unigram)
+        order = rng.permutation(len(w))
+        for lo in range(0, len(w), batch):
+            at = order[lo : lo + batch]
+            x, y, z, weight = w[at], p[at], pp[at], n[at] / n[at].sum()
+            near, far = self.r[y], self.r[z]
+            ctx = self.c1 * near + self.c2 * far
+            noise = np.minimum(np.searchsorted(share, rng.random(NOISE)), self.classes - 1)
+            good = weight * (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", self.q[x], ctx) + self.b[x] - log_noise[x], -30, 30))) - 1)
+            bad = weight[:, None] / (1 + np.exp(-np.clip(ctx @ self.q[noise].T + self.b[noise] - log_noise[noise], -30, 30)))
+            d_ctx = good[:, None] * self.q[x] + bad @ self.q[noise]
+            g_b = np.bincount(x, good, self.classes) + np.bincount(noise, bad.sum(axis=0), self.classes)
+            g_q = _added(x, good[:, None] * ctx, self.classes) + _added(noise, bad.T @ ctx, self.classes)
+            g_r = _added(y, d_ctx * self.c1, self.classes) + _added(z, d_ctx * self.c2, self.classes)
+            for part, grad, sq in zip(self.parts(), (g_b, g_q, g_r, (d_ctx * near).sum(axis=0), (d_ctx * far).sum(axis=0)), self.square, strict=True):
                 sq += grad * grad
                 part -= rate * grad / np.sqrt(sq)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(one[p, w], two[pp, w], log_z[pp, p]): log P(w | p, pp) = one + two - log_z, with b in one."""
-        one = (self.r * self.c1) @ self.q.T + self.b
+    def tables(self, members: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(one[p, w], two[pp, w], log_z[pp, p]): log P(w | p, pp) = one + two - log_z, over classes with members."""
+        b = self.b if members is None else np.where(members, self.b, -np.inf)
+        one = (self.r * self.c1) @ self.q.T + b
         two = (self.r * self.c2) @ self.q.T
-        log_z = np.empty((self.classes, self.classes))
-        for pp in range(self.classes):
-            x = one + two[pp]
-            top = x.max(axis=1)
-            log_z[pp] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        high, low = one.max(axis=1), two.max(axis=1)
+        log_z = np.log(np.exp(two - low[:, None]) @ np.exp(one - high[:, None]).T) + low[:, None] + high[None, :]
         return one, two, log_z
 
 
-def _descend(now, unigram: np.ndarray, turn: int) -> Callable:
+def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows with one number, at that number."""
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
+
+
+def _descend(now, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if sum(len(c) for c, _ in found):
-            code, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(code)
-            model = LogBilinear(unigram=unigram).unpack(now.value)
-            model.train(code[order], n[order], unigram, seed=turn)
-            yield pa.RecordBatch.from_arrays([pa.array([model.pack().tobytes()], pa.binary()), pa.array([float(n.sum())])], names=["params", "weight"])
+        params, unigram = now.value
+        model, tokens, held, size = LogBilinear(unigram=unigram).unpack(params), 0, [], 0
+
+        def learn() -> int:
+            w, p, pp, _ = triples(held)
+            code, n = np.unique((pp * CLASSES + p) * CLASSES + w, return_counts=True)
+            model.train(code % CLASSES, code // CLASSES % CLASSES, code // CLASSES**2, n, unigram, turn)
+            return len(w)
+
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                held.append(c)
+                size += len(c) // 2
+                if size > CHUNK:
+                    tokens += learn()
+                    held, size = [], 0
+        if held:
+            tokens += learn()
+        if tokens:
+            packed = model.pack()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed))), pa.array(packed * tokens), pa.array(np.full(len(packed), float(tokens)))], names=["at", "value", "weight"])
 
     return run
 
 
-def fit_model(triples: DataFrame, unigram: np.ndarray) -> LogBilinear:
-    """triples(code, n) in TRAIN_PARTITIONS partitions at most, so that the driver averages a fixed number of rows."""
-    model, sc = LogBilinear(unigram=unigram), triples.sparkSession.sparkContext
+def fit_model(codes: DataFrame, unigram: np.ndarray) -> LogBilinear:
+    """codes(train_codes): trainers' parameters are averaged by token, place by place, in an aggregation."""
+    model, sc = LogBilinear(unigram=unigram), codes.sparkSession.sparkContext
     for turn in range(ROUNDS):
-        now = sc.broadcast(model.pack())  # fixed in size by CLASSES and WIDTH
-        rows = triples.mapInArrow(_descend(now, unigram, turn), "params binary, weight double").collect()
+        now = sc.broadcast((model.pack(), unigram))  # fixed in size by CLASSES and WIDTH
+        rows = codes.mapInArrow(_descend(now, turn), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()  # one a parameter
         if not rows:
             break
-        model.unpack(sum(np.frombuffer(r.params) * r.weight for r in sorted(rows, key=lambda r: bytes(r.params))) / sum(r.weight for r in rows))
+        found = np.zeros(len(model.pack()))
+        found[[r["at"] for r in rows]] = [r["value"] for r in rows]
+        model.unpack(found)
     return model
 
 
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = np.bincount(np.concatenate([*(np.frombuffer(c, "<i2") for c in b.column(0).to_pylist()), np.zeros(0, "<i2")]), minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n)], names=["class", "n"])
+
+
 def _score(sent) -> Callable:
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        known, one, two, log_z, n, v, ends, rest = sent.value
-        count = dict(zip(map(bytes, words["word"]), words["c"], strict=True))
-        ln10, all_base, out = np.log(10.0), n + SMOOTH * (v + 1), []
-        for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
-            tokens = words_of(text)
-            c = np.fromiter([*map(count.__getitem__, tokens), ends], np.float64, len(tokens) + 1)
-            k = classes_of(tokens, known)
-            p, pp = contexts(k)
-            logs = np.log10(c + SMOOTH)
-            model = (one[p, k] + two[pp, k] - log_z[pp, p]).sum() / ln10 + (logs[k == OTHER] - np.log10(rest)).sum()
-            out.append((doc, len(c), int((c > 0).sum()), float(logs.sum() - len(c) * np.log10(all_base)), float(model)))
-        found = pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-        return found.assign(doc_id=docs["doc_id"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, log_z, class_logs = sent.value
+        ln10 = np.log(10.0)
+        for b in batches:
+            w, p, pp, text = triples(b.column(0).to_pylist())
+            logs = (one[p, w] + two[pp, w] - log_z[pp, p]) / ln10 - class_logs[w]
+            score = np.bincount(text, logs, b.num_rows) + b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(score)], names=[*b.schema.names[2:], "score"])
 
     return run
 
 
+def _shares(first: DataFrame, names: list[bytes]) -> np.ndarray:
+    """Sum of the counts of each class's words; bounded by CLASSES. Words that are classes of their own sum to their count."""
+    band = F.least(F.lit(BANDS - 1), F.ceil(F.log2("c"))).cast("long")
+    sums = np.zeros(CLASSES)
+    for r in first.groupBy((F.lit(FIRST + FREQUENT) + F.col("grp") * BANDS + band).alias("class")).agg(F.sum("c").alias("c")).collect():
+        sums[r["class"]] = r.c
+    own = {w: FIRST + k for k, w in enumerate(names)}
+    for r in first.where(F.col("word").isin([bytearray(w) for w in names])).collect() if names else []:  # at most FREQUENT
+        sums[own[bytes(r.word)]] += r.c
+        sums[int(band_class(np.array([r.c]), np.array([r.grp]))[0])] -= r.c
+    return sums
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Rows whose crc32 of the id as text (null: empty text) leaves remainder 0 by 10 are held out of every count. Null
     text counts as empty: one end token. Repeated rows count and are scored each. Ties among frequent words go by
-    bytes. Without training rows all words are unknown and the model is uniform over its classes. Further columns are
-    not read; an empty table gives an empty result.
+    bytes. All unknown words are one outcome, as in the base. Without training rows all words are unknown and the model
+    is uniform over end and unknown. Further columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", crc_of_id("doc_id") % 10 == 0)
-    rows = rows.withColumn("split", _groups(docs))
-    listed = rows.select("split", "text", ~F.col("held_out")).mapInArrow(_words, "split long, word binary, n long")
-    by_word = Window.partitionBy("word")
-    counts = durable(listed.select("split", "word", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("split")).alias("nth")))
-    ends = rows.where(~F.col("held_out")).count()
-    first = counts.where("nth = 1 and c > 0")
-    words, distinct = first.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    n, v = words + ends, distinct + (ends > 0)
-    top = first.orderBy(F.desc("c"), "word").select("word", "c").limit(CLASSES - 2).collect()  # at most CLASSES rows
-    known = {bytes(r.word): k for k, r in enumerate(top, 2)}
-    shares = np.full(CLASSES, SMOOTH)
-    shares[END] += ends
-    shares[2 : 2 + len(top)] += [r.c for r in top]
-    shares[OTHER] = n + SMOOTH * (v + 1) - sum(r.c + SMOOTH for r in top) - (ends + SMOOTH if ends else 0)
-    rest = max(shares[OTHER], SMOOTH)
-    unigram = np.maximum(shares, SMOOTH) / np.maximum(shares, SMOOTH).sum()
-
     sc = spark.sparkContext
-    names = sc.broadcast(known)  # at most CLASSES words
-    triples = rows.where(~F.col("held_out")).select("text").mapInArrow(_triples(names), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    triples = durable(triples.repartition(TRAIN_PARTITIONS, "code"))
-    one, two, log_z = fit_model(triples, unigram).tables()
-    sent = sc.broadcast((known, one, two, log_z, float(n), v, ends, rest))  # fixed in size by CLASSES
-    texts = rows.select("split", "doc_id", "text").groupBy("split")
-    scored = texts.cogroup(counts.select("split", "word", "c").groupBy("split")).applyInPandas(_score(sent), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", (crc_of_id("doc_id") % 10 == 0).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = _dealt(docs, id_col, text_col)
+    training = rows.where("not held_out").select("text")
+    names = frequent_words(training)
+    groups = sc.broadcast(word_groups(training, names))  # at most FREQUENT words
+    listed = durable(rows.select("split", "text", (~F.col("held_out")).alias("train")).mapInArrow(_words(groups), "split long, word binary, grp int, n long"))
+    by_group = listed.groupBy("word", "grp").agg(F.sum("n").alias("n"))
+    first = durable(by_group.groupBy("word").agg(F.sum("n").alias("c"), F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp")))
+    ends = training.count()
+    words, distinct = first.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).head()
+    n, v = words + ends, distinct + (ends > 0)
+    sums = _shares(first.where("c > 0"), names)
+
+    counts = listed.select("split", "word").distinct().join(first, "word").select("split", "word", "c", "grp")
+    coded = rows.groupBy("split").cogroup(counts.groupBy("split")).applyInPandas(_coded(sc.broadcast(names), float(n), v, ends), CODED)
+    coded = durable(coded)
+    discard(listed)
+    discard(rows)
+    train_codes = coded.where("not held_out").select("train_codes")
+    tokens = np.full(CLASSES, SMOOTH)
+    for r in train_codes.mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # one a class
+        tokens[r["class"]] += r.n
+    members = sums > 0
+    members[[END, UNKNOWN]] = True
+    one, two, log_z = fit_model(train_codes, tokens / tokens.sum()).tables(members)
+    class_logs = np.log10(np.where(sums > 0, sums, 1.0))
+    class_logs[[END, UNKNOWN]] = 0.0
+    sent = sc.broadcast((one, two, log_z, class_logs))  # fixed in size by CLASSES
+    scored = coded.select("codes", "counts_log", "doc_id", "held_out", "n_tokens", "n_known", "base_score").mapInArrow(_score(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

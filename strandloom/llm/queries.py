@@ -12,7 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_model import lm_scores
 from .line_dedup import line_dedup
-from .mixing import mix, taken
+from .mixing import mix
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -28,7 +28,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", taken().alias("taken"), "source", F.size("pieces").alias("n_pieces"))
+    return mixed.select("doc_id", F.col("size"), "source_size", "target", "taken", "source", "n_pieces", "n_shards")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,13 +47,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = [fingerprint(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        prints = [fingerprint(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), *b.columns[1:]], names=["fp", *b.schema.names[1:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """fp, doc_id and the columns in `keep`."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(_fingerprints, f"fp long, {schema}")
 
 
 def ball_links(prints: DataFrame) -> DataFrame:
@@ -66,17 +69,18 @@ def ball_links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), and with
+    columns in `keep` also those and `root`, a fingerprint that names the component whatever its ids are.
 
     Null and blank texts have fingerprint zero and are linked like any other; fewer words than a shingle make one
     shingle of them all. Null ids never name a component unless it has no other. Repeated rows and ties fall into one
-    component. Further columns are not read. An empty table gives an empty result.
+    component. Further columns are not read unless kept. An empty table gives an empty result.
     """
-    prints = durable(fingerprints(docs, id_col, text_col))
+    prints = durable(fingerprints(docs, id_col, text_col, keep))
     roots = components(ball_links(prints))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     classes = durable(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     firsts = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(firsts, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = classes.join(firsts, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["root", *keep] if keep else []))

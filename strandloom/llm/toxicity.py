@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, durable, ship
 
 MAX_FIT_ROWS = 20_000
-MAX_ENTRIES = 20_000
+#: Fitting rows that an entry must occur in; this bounds the lexicon by the words of the fitting rows over LEAST_SUPPORT.
 LEAST_SUPPORT = 4
 #: Share of the toxic rows of a half that an entry must occur in, so that one group of near copies makes no entry.
 LEAST_SHARE = 0.004
@@ -116,8 +116,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for w in set(fold(text).split()):
-                if 3 < len(w) <= 40:
-                    counts.setdefault(w, [0, 0])[toxic] += 1
+                counts.setdefault(w, [0, 0])[toxic] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["word", "toxic", "clean"])
 
 
@@ -151,16 +150,16 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return Lexicon(seeds)
     words = durable(rows.where("half").select("text", "toxic").mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     whole = words.select(F.col("word").alias("p"), F.lit(True).alias("whole"), "toxic", "clean")
-    heads = words.select(F.explode(F.expr("transform(sequence(4, least(8, length(word) - 1)), n -> substring(word, 1, n))")).alias("p"), "toxic", "clean").where("p <> ''")
+    heads = words.select(F.explode(F.expr("if(length(word) > 4, transform(sequence(4, least(8, length(word) - 1)), n -> substring(word, 1, n)), cast(array() as array<string>))")).alias("p"), "toxic", "clean").where("p <> ''")
     heads = heads.groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).select("p", F.lit(False).alias("whole"), "toxic", "clean")
     weight = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     found = whole.unionByName(heads).where(F.col("toxic") >= max(LEAST_SUPPORT, LEAST_SHARE * bad)).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
     entries = dict(seeds)
-    for r in found.orderBy(F.desc("toxic"), F.desc("w"), "p", "whole").limit(MAX_ENTRIES).collect():
+    for r in sorted(found.collect(), key=lambda r: (r.p, r.whole)):  # bounded by the fitting rows
         if r.p not in entries or r.whole is False:
             entries[r.p] = (max(r.w, entries.get(r.p, (0.0, True))[0]), r.whole)
     lex = Lexicon(entries)
-    sent = docs.sparkSession.sparkContext.broadcast(lex.to_json())  # at most MAX_ENTRIES entries
+    sent = docs.sparkSession.sparkContext.broadcast(lex.to_json())  # bounded by the fitting rows
     feats = rows.where("not half").select("text", "toxic").mapInArrow(_feature_rows(sent), "a double, b double, toxic int").toPandas()  # at most max_fit_rows rows of three numbers
     return Lexicon(entries, _logistic(feats[["a", "b"]].to_numpy(), feats["toxic"].to_numpy(float)))
 
@@ -192,12 +191,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     held_out: crc32 of the id as text (null: empty text) leaves remainder 0 by 5; those rows' labels are never read.
     Null and empty texts score as texts without a match. Without labels of both kinds the built-in list alone decides.
+    The lexicon and the curve are fitted on at most max_fit_rows labelled rows, whole texts and words of any length.
     Conflicting labels of an id count as toxic; repeated rows are scored alike. Very long texts are read whole. Further
     columns are not read unless kept; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     lex = fit_lexicon(docs, labels, id_col, text_col, max_fit_rows)
-    sent = docs.sparkSession.sparkContext.broadcast(lex.to_json())  # at most MAX_ENTRIES entries
+    sent = docs.sparkSession.sparkContext.broadcast(lex.to_json())  # bounded by the fitting rows
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
     scored = rows.mapInArrow(_scores(sent), schema) if keep else rows.mapInArrow(_narrow(sent), "doc_id long, score double")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from strandloom.llm.bpe import bpe_digests, default_tokenizer
 from strandloom.llm.exact_dedup import exact_dedup, grace
 from strandloom.llm.language_model import LogBilinear, lm_scores
 from strandloom.llm.line_dedup import line_dedup
-from strandloom.llm.mixing import mix, shuffled_shards, split_quotas, taken
+from strandloom.llm.mixing import _uniform, draw_sql, mix, mix_rows, permuted, shuffled_shards, split_quotas
 from strandloom.llm.simhash import fingerprint, simhash_components
 from strandloom.llm.substring_dedup import LEAST, compact_windows, substring_dedup
 from strandloom.llm.suffix_dedup import suffix_dedup
@@ -88,23 +89,55 @@ def test_simhash(docs, none):
     assert simhash_components(none).count() == 0
 
 
-def test_mixing(docs, none):
-    rows = mix(docs, shard_words=5000).select("*", taken().alias("taken")).collect()
-    words = {r.doc_id: len((r.text or "").encode().split()) for r in docs.collect()}
-    assert all(r["size"] == words[r.doc_id] and r.taken <= 3 * r["size"] for r in rows)
-    for s in {r.source for r in rows}:
+def water_filled(sizes):
+    """Targets by raising a common level per weight, sources in order, null last."""
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target, open_ = {}, set(sizes)
+    while open_:
+        level = (sum(sizes.values()) - sum(target.values())) / sum(weights[s] for s in open_)
+        full = {s for s in open_ if level * weights[s] >= 3 * sizes[s]}
+        target |= {s: 3 * sizes[s] for s in full} if full else {s: level * weights[s] for s in open_}
+        open_ -= full or open_
+    return target
+
+
+def test_mixing(spark, docs, none):
+    rows = mix(docs, shard_words=5000).collect()
+    words = sorted(len((r.text or "").encode().split()) for r in docs.collect())
+    assert sorted(r["size"] for r in rows) == words and all(r.taken <= 3 * r["size"] for r in rows)
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+    for s, target in water_filled(sizes).items():
         own = [r for r in rows if r.source == s]
+        assert all(r.target == pytest.approx(target) and r.source_size == sizes[s] for r in own)
         assert sum(r.taken for r in own) == round(own[0].target)
-    again = mix(docs, shard_words=5000).select("doc_id", "size", taken().alias("taken")).collect()
-    assert sorted(map(str, again)) == sorted(str(x) for x in mix(docs, shard_words=5000).select("doc_id", "size", taken().alias("taken")).collect())
-    shards = shuffled_shards(mix(docs, shard_words=5000)).groupBy("shard").agg(F.sum("n_words").alias("n")).collect()
-    assert len(shards) > 1 and sum(r.n for r in shards) == sum(r.taken for r in rows)
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    taken = lambda **k: sorted(str(x) for x in mix(some, **k).select("doc_id", F.col("size"), "source", "taken").collect())
+    assert taken(shard_words=5000) == taken(shard_words=5000) != taken(shard_words=5000, seed=1)
+    dealt = shuffled_shards(mix_rows(docs), shard_words=5000).collect()
+    assert len({r.shard for r in dealt}) > 1 and sum(r.n_words for r in dealt) == sum(r.taken for r in rows)
+    at = sorted((r.row, r["copy"], r.word_from, r.n_words) for r in dealt)
+    assert all(x[:2] != y[:2] or x[2] + x[3] <= y[2] for x, y in zip(at, at[1:], strict=False))
     assert mix(none).count() == 0
 
 
-def test_splitting_tree():
-    q = split_quotas(np.array([100, 0, 7, 1]), 8, 1)
-    assert (q.sum(axis=1) == [100, 0, 7, 1]).all() and np.ptp(q.sum(axis=0)) <= 1
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(70_000).selectExpr("id AS doc_id", "concat('w ', id) AS text", "concat('s', id) AS source")
+    got = mix(docs).agg(F.sum("taken"), F.sum("source_size"), F.max("taken"), F.count("*")).head()
+    assert got[3] == 70_000 and got[2] <= 6 and abs(got[0] - got[1]) < 0.3 * got[1]
+
+
+def test_splitting_tree(spark):
+    sources = spark.createDataFrame([("a", 9, 300, 7), ("b", 1, 1, 0), ("c", 5, 0, 0), ("d", 12, 4096, 0)], "key string, bits int, quota long, extra long")
+    rows = split_quotas(sources, 4, 1).collect()
+    for key, bits, quota, extra in (("a", 9, 300, 7), ("b", 1, 1, 0), ("c", 5, 0, 0), ("d", 12, 4096, 0)):
+        own = [r for r in rows if r.key == key]
+        assert len(own) == 1 << min(4, bits) and sum(r.quota for r in own) == quota and sum(r.extra for r in own) == extra
+        assert all(0 <= r.extra <= r.quota <= 1 << bits - min(4, bits) for r in own)
+    drawn = spark.range(100_000).select(F.lit(8).cast("long").alias("n"), F.lit(6).cast("long").alias("q"), _uniform("id").alias("u")).select(F.expr(draw_sql("n", "q", "u")).alias("x")).groupBy("x").count().collect()
+    assert all(abs(r["count"] / 1e5 - math.comb(8, r.x) * math.comb(8, 6 - r.x) / math.comb(16, 6)) < 0.01 for r in drawn)
+    assert spark.range(1 << 9).select(F.expr(permuted("id", "9", "77L")).alias("x")).distinct().agg(F.count("*"), F.max("x")).head() == (512, 511)
 
 
 def test_top_k(spark):

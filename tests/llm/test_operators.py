@@ -1,8 +1,10 @@
 import hashlib
 import math
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,13 +14,13 @@ from strandloom.llm import substring_dedup as sub
 from strandloom.llm import suffix_dedup as sd
 from strandloom.llm.bpe import bpe_digests, default_tokenizer
 from strandloom.llm.exact_dedup import exact_dedup, grace
-from strandloom.llm.language_model import LogBilinear, lm_scores
+from strandloom.llm.language_model import CLASSES, LogBilinear, _score, lm_scores
 from strandloom.llm.line_dedup import line_dedup
 from strandloom.llm.mixing import _uniform, draw_sql, mix, mix_rows, permuted, shuffled_shards, split_quotas
 from strandloom.llm.simhash import fingerprint, simhash_components
 from strandloom.llm.substring_dedup import LEAST, compact_windows, substring_dedup
 from strandloom.llm.suffix_dedup import suffix_dedup
-from strandloom.llm.topk import exact_top_k
+from strandloom.llm.topk import dealt_to_shards, exact_top_k
 from strandloom.llm.toxicity import fold, toxicity_scores
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, score double"
@@ -142,17 +144,37 @@ def test_splitting_tree(spark):
 
 def test_top_k(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)] + [(400, [1.0] * 8), (401, [1.0] * 8), (402, None), (403, [None] * 8), (404, [float("nan")] * 8), (None, [1.0] * 8), (405, []), (420, [2.0, 1.0])]
+    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)] + [(400, [1.0] * 8), (401, [1.0] * 8), (402, None), (403, [None] * 8), (404, [float("nan")] * 8), (None, [1.0] * 8), (405, []), (420, [2.0, 1.0]), (40, [0.5] * 8), (40, [-0.5] * 8)] + [(500 + i, [0.25] * 8) for i in range(150)]
     kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
     df = spark.createDataFrame(rows, kind)
-    got = [tuple(r) for r in exact_top_k(df, rows_a_shard=70, queries_a_block=5).collect()]
-    x = {i: np.floor(64 * np.float32(v).astype(float)).astype(int) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    got = [tuple(r) for r in exact_top_k(df, rows_a_shard=70).collect()]
+    x = [(i, np.floor(64 * np.float32(v).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for q in (i for i in x if i % 20 == 0):
-        best = sorted((-int(x[q] @ v), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:20]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for n, (q, u) in enumerate(x):
+        if q % 20 == 0:
+            best = sorted((-int(u @ v), i) for m, (i, v) in enumerate(x) if m != n and len(v) == len(u))[:20]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     assert sorted(got) == sorted(want)
     assert exact_top_k(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="beyond"):
+        exact_top_k(spark.createDataFrame([(1, [1e9])], kind)).collect()
+
+
+def test_top_k_prunes_shards(spark):
+    """Clusters far apart: queries go to few of the shards."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(10, 6)) * 30
+    x = np.floor(64 * (centres[np.arange(1000) % 10] + rng.normal(size=(1000, 6)))).astype(int)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<bigint>")
+    placed, shards = dealt_to_shards(df, 50)
+    number, centre, radius = shards[6]
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(sizes) == len(number) >= 16 and sum(sizes) == 1000 and max(sizes) < 200
+    reached = 0
+    for q in x[::20].astype(float):
+        kth = np.sort(x @ q)[-21]
+        reached += int((centre @ q + np.linalg.norm(q) * radius >= kth).sum())
+    assert reached < 0.6 * 50 * len(number)
 
 
 def test_toxicity(spark, docs, none):
@@ -204,16 +226,46 @@ def test_lm_scores(docs, none):
 
 
 def test_model_is_normalised_and_learns():
-    k = LogBilinear().classes
-    unigram = np.full(k, 0.1 / k)
+    unigram = np.full(CLASSES, 0.1 / CLASSES)
     unigram[:10] += 0.09
     unigram /= unigram.sum()
-    code = np.array([(a * k + b) * k + (b + 1) % 10 for a in range(10) for b in range(10)])
+    x, y = (np.repeat(np.arange(10), 10), np.tile(np.arange(10), 10))
     model = LogBilinear(unigram=unigram)
-    model.train(code, np.full(len(code), 50), unigram, 1, epochs=12)
-    one, two, z = model.tables()
+    for k in range(1000):
+        model.train((y + 1) % 10, y, x, np.full(100, 50), unigram, k)
+    members = np.arange(CLASSES) < 300
+    one, two, z = model.tables(members)
     p = np.exp(one[3] + two[4] - z[4, 3])
-    assert p.sum() == pytest.approx(1) and p[4] > 0.5
+    assert p.sum() == pytest.approx(1) and not p[300:].any() and p[4] > 0.5
+
+
+def test_lm_beats_the_base_and_a_bigram_table(spark):
+    """Held out, the model gains on the base; over its own classes it beats smoothed counts of class pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lm_scores(docs).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).head()
+    print("gain", (rows[2] - rows[1]) / rows[0])
+    assert (rows[2] - rows[1]) / rows[0] >= 0.2
+
+
+def test_lm_is_a_distribution():
+    """After any two tokens, the words of the corpus, the end and an unknown word have probabilities that sum to one."""
+    rng = np.random.default_rng(6)
+    counts, classes = rng.integers(1, 50, 300), rng.integers(2, CLASSES, 300)
+    sums = np.bincount(classes, counts, CLASSES)
+    members = sums > 0
+    members[:2] = True
+    model = LogBilinear(unigram=np.full(CLASSES, 1 / CLASSES))
+    class_logs = np.log10(np.where(sums > 0, sums, 1))
+    run = _score(SimpleNamespace(value=(*model.tables(members), class_logs)))
+
+    def logs(codes):
+        batch = pa.RecordBatch.from_arrays([pa.array([np.array(c, "<i2").tobytes() for c in codes]), pa.array(np.zeros(len(codes)))], names=["codes", "counts_log"])
+        return next(run(iter([batch]))).column(0).to_numpy()
+
+    for before in ([], [5], [0, 1], [int(classes[0]), int(classes[1])]):
+        ends = [*((int(k), int(c)) for k, c in zip(classes, counts, strict=True)), (0, 1), (1, 1)]
+        p = logs([[*before, k] for k, _ in ends]) - logs([before] if before else [[2]]) * bool(before)
+        assert (10**p * [c for _, c in ends]).sum() == pytest.approx(1)
 
 
 def brute(texts, span=200):

@@ -7,21 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark drop a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder; a local one only where the setting is absent, as in tests."""
+    """The shared folder. Where the setting is absent, a local one on a local master (tests), and an error on a cluster."""
     sc = spark.sparkContext
     if (where := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-ckpt-"))
         where = sc.getCheckpointDir()
     return where
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write as Parquet and read again; the files go when the application ends."""
+    """Write as Parquet and read again, so that a lost executor costs no recomputation; the files go when the application ends.
+
+    The shuffle files of the write are dropped once it has ended, as nothing reads behind the cut.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/strandloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a durable() result that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/strandloom-" in folder:
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

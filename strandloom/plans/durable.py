@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lets Spark drop a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder. Where the setting is absent, a local one on a local master (tests), and an error on a cluster."""
@@ -26,16 +23,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write as Parquet and read again, so that a lost executor costs no recomputation; the files go when the application ends.
 
-    The shuffle files of the write are dropped once it has ended, as nothing reads behind the cut.
+    Nothing reads behind a cut, but Spark's cleaner drops shuffle files only when the driver collects garbage, so it does so here.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/strandloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,77 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import discard, durable
+from ..shipping import ship
+
 #: The six ASCII white-space characters that separate words everywhere in this subpackage.
 SPACES = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
+__all__ = ["SPACES", "WORD", "crc_of_id", "discard", "durable", "ship", "table", "text_or_empty", "words_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors where PYTHONPATH does not already do so."""
-    root = Path(__file__).resolve().parents[2]
-    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    sc = spark.sparkContext
-    if str(root) in on_path or getattr(sc, "_strandloom_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="strandloom-")
-    bundle = os.path.join(folder, "strandloom_code.zip")
-    with zipfile.ZipFile(bundle, "w") as z:
-        for p in sorted((root / "strandloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(bundle)
-    sc._strandloom_shipped = True
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the setting is absent (tests)."""
-    sc = spark.sparkContext
-    if (where := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-ckpt-"))
-        where = sc.getCheckpointDir()
-    return where
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    Written as compressed Parquet, which takes far less disk than a row checkpoint, and deleted when the
-    application ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/strandloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a durable() result that nothing reads any more.
-
-    A collection on the driver lets Spark's cleaner drop the shuffle files of the writes before it as well.
-    """
-    spark = df.sparkSession
-    spark._jvm.System.gc()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strandloom-" in folder:
-            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_or_empty(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 

@@ -322,7 +322,7 @@ def covered(row, lo, hi):
     return any(s.lo <= lo and hi <= s.hi for s in row.spans)
 
 
-@pytest.mark.parametrize("most", [32, 1])
+@pytest.mark.parametrize("most", [16, 1])
 def test_substring_dedup_links_all_pairs(spark, most, monkeypatch):
     """Equal passages of a crowd that holds their phrases elsewhere, against all pairs by brute force."""
     monkeypatch.setattr(sub, "MOST_WINDOWS", most)

@@ -27,6 +27,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/strandloom-{uuid.uuid4().hex}"
+    spark._jvm.System.gc()  # what the cut before left
     df.write.option("compression", "zstd").parquet(path)
     spark._jvm.System.gc()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -39,20 +39,22 @@ END, UNKNOWN, FIRST = 0, 1, 2
 CLASSES = FIRST + FREQUENT + (GROUPS + 1) * BANDS
 WIDTH, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 3, 0.3
 SMOOTH = 0.1
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 MOST_WORDS = 400_000
 #: Tokens that a trainer takes up at a time.
 CHUNK = 1 << 21
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, held_out, split), written, so that a row keeps its split in every later pass."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """(doc_id, text, split, held_out); a split follows from a row's file block and content, so that it is the same in every pass.
+
+    However many rows are alike, a split is no larger than a file block.
+    """
     if not docs.inputFiles():
-        rows = durable(rows)
-    cut = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / GROUP_BYTES))
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.monotonically_increasing_id(), cut))
-    return durable(rows.select("doc_id", "text", split.alias("split")).withColumn("held_out", crc_of_id("doc_id") % 10 == 0))
+        docs = durable(docs.select(id_col, text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / GROUP_BYTES)).alias("cut"))
+    split = F.xxhash64("file", "at", F.pmod(F.xxhash64("doc_id", "text"), "cut"))
+    return rows.select("doc_id", "text", split.alias("split")).withColumn("held_out", crc_of_id("doc_id") % 10 == 0)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,11 +353,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n, v = words + ends, distinct + (ends > 0)
     sums = _shares(first.where("c > 0"), names)
 
-    counts = listed.select("split", "word").distinct().join(first, "word").select("split", "word", "c", "grp")
+    counts = listed.select("split", "word").join(first, "word").select("split", "word", "c", "grp")  # a word may come once a document group
     coded = rows.groupBy("split").cogroup(counts.groupBy("split")).applyInPandas(_coded(sc.broadcast(names), float(n), v, ends), CODED)
     coded = durable(coded)
     discard(listed)
-    discard(rows)
     train_codes = coded.where("not held_out").select("train_codes")
     tokens = np.full(CLASSES, SMOOTH)
     for r in train_codes.mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # one a class

@@ -14,9 +14,10 @@ model learns from the corpus how often unknown and rare words come.
 All training tokens take part in each round: every partition descends the noise-contrastive loss over its own token
 triples, weighted by their counts, from common parameters, and the results are averaged by an aggregation.
 
-Words never meet in one place: rows are dealt to groups of about GROUP_BYTES, a group lists its distinct words once, an
-aggregation counts them, and the join back gives each group the counts of its own words only. The result is each
-text's class codes, from which training and scoring read without the texts.
+A pass over the texts cuts each task's rows into pieces of bounded vocabulary: it numbers a piece's distinct words and
+writes each text as those numbers, each word once with its count, and one row with all of the piece's own counts. An
+aggregation counts the words. Those of more than one piece are then told to their pieces, by number; a word of one
+piece alone is known there already. So neither texts nor words are shuffled but for the counting.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +41,13 @@ END, UNKNOWN, FIRST = 0, 1, 2
 CLASSES = FIRST + FREQUENT + (GROUPS + 1) * BANDS
 WIDTH, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 3, 0.3
 SMOOTH = 0.1
-GROUP_BYTES = 8 << 20
 MOST_WORDS = 400_000
+#: Distinct words and tokens after which a piece ends, with the text that reaches them.
+PIECE_WORDS, PIECE_TOKENS = 500_000, 5_000_000
 #: Tokens that a trainer takes up at a time.
 CHUNK = 1 << 21
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, split, held_out); a split follows from a row's file block and content, so that it is the same in every pass.
-
-    However many rows are alike, a split is no larger than a file block.
-    """
-    if not docs.inputFiles():
-        docs = durable(docs.select(id_col, text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / GROUP_BYTES)).alias("cut"))
-    split = F.xxhash64("file", "at", F.pmod(F.xxhash64("doc_id", "text"), "cut"))
-    return rows.select("doc_id", "text", split.alias("split")).withColumn("held_out", crc_of_id("doc_id") % 10 == 0)
-
-
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of the words that make up a ten-thousandth of what a task has read."""
     counts: Counter = Counter()
@@ -124,31 +115,61 @@ def word_groups(texts: DataFrame, names: list[bytes]) -> dict[bytes, int]:
     return {w: int(g) for w, g in zip(names, of, strict=True)}
 
 
-def _words(groups) -> Callable:
+#: Rows of a piece: its texts (body: the number of each word), its words, and one of all counts (body: COUNTS of each number).
+TEXT, WORD_ROW, TOTAL = 0, 1, 2
+PIECES = pa.schema([("kind", pa.int32()), ("piece", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("body", pa.binary()), ("pos", pa.int32()), ("word", pa.binary()), ("grp", pa.int32()), ("n", pa.int64())])
+PIECE_ROW = "kind int, piece long, doc_id long, held_out boolean, body binary, pos int, word binary, grp int, n long"
+COUNTS = np.dtype([("n", "<i8"), ("grp", "<i2"), ("own", "<i2")])
+
+
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _piece_rows(kind: int, piece: int, size: int, **given: pa.Array) -> pa.RecordBatch:
+    given |= {"kind": pa.array(np.full(size, kind, np.int32)), "piece": pa.array(np.full(size, piece, np.int64))}
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(size, f.type)) for f in PIECES], schema=PIECES)
+
+
+def _pieces(known, most_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(split, word, grp, n): n counts training rows of one document group; words that only other rows have get 0."""
-        held: dict[tuple[int, int], Counter] = {}
-        group_of = groups.value
+        """doc_id, text, held_out -> PIECES; words that only rows held out have count 0."""
+        names, group_of = known.value
+        own = {w: FIRST + k for k, w in enumerate(names)}
+        piece = TaskContext.get().partitionId() << 32
+        at, texts, size = Numbered(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (split, group), counts in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([split] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()), pa.array([group] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["split", "word", "grp", "n"])
-            held.clear()
+            ids, held, groups, numbers = zip(*texts, strict=True)
+            votes = np.zeros(len(at) * (GROUPS + 1), np.int64)
+            for group, k in ((g, k) for g, k, h in zip(groups, numbers, held, strict=True) if not h):
+                np.add.at(votes, k.astype(np.int64) * (GROUPS + 1) + group, 1)
+            votes = votes.reshape(-1, GROUPS + 1)
+            counts = np.zeros(len(at), COUNTS)
+            counts["n"], counts["grp"], counts["own"] = votes.sum(axis=1), votes.argmax(axis=1), -1
+            for w in own.keys() & at.keys():
+                counts["own"][at[w]] = own[w]
+            yield _piece_rows(TEXT, piece, len(ids), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held), body=pa.array([k.tobytes() for k in numbers], pa.binary()))
+            yield _piece_rows(TOTAL, piece, 1, body=pa.array([counts.tobytes()], pa.binary()))
+            if at:
+                yield _piece_rows(WORD_ROW, piece, len(at), pos=pa.array(np.arange(len(at), dtype=np.int32)), word=pa.array(list(at), pa.binary()), grp=pa.array(counts["grp"].astype(np.int32)), n=pa.array(counts["n"].astype(np.int64)))
 
         for b in batches:
-            for split, text, train in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc_id, text, held in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 words = words_of(text)
-                votes = Counter(group_of[w] for w in words if w in group_of)
+                votes = Counter(map(group_of.__getitem__, filter(group_of.__contains__, words)))
                 group = min(votes, key=lambda g: (-votes[g], g)) if votes else GROUPS
-                counts = held.setdefault((split, group), Counter())
-                if train:
-                    counts.update(words)
-                else:
-                    for w in words:
-                        counts.setdefault(w, 0)
-            if sum(map(len, held.values())) > MOST_WORDS:
-                yield from out()
-        yield from out()
+                texts.append((doc_id, held, group, np.fromiter(map(at.__getitem__, words), "<i4", len(words))))
+                size += len(words)
+                if len(at) >= most_words or size >= PIECE_TOKENS:
+                    yield from out()
+                    piece, at, texts, size = piece + 1, Numbered(), [], 0
+        if texts:
+            yield from out()
 
     return run
 
@@ -159,25 +180,27 @@ def band_class(c: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.where(c > 0, FIRST + FREQUENT + group * BANDS + band, UNKNOWN)
 
 
-def _coded(known, n: float, v: int, ends: int) -> Callable:
+def _coded(n: float, v: int, ends: int) -> Callable:
     """Class codes of each text, as scored and as trained on, with the base score and the shares of the classes left out."""
 
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        own = {w: FIRST + k for k, w in enumerate(known.value)}
-        c, group = words["c"].to_numpy(np.float64), words["grp"].to_numpy(np.int64)
-        names = [bytes(w) for w in words["word"]]
-        single = np.array([own.get(w, -1) for w in names], np.int64).reshape(-1)
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        total = np.frombuffer(rows.filter(pa.compute.equal(rows["kind"], TOTAL))["body"][0].as_py(), COUNTS)
+        c, group, single = total["n"].astype(np.float64), total["grp"].astype(np.int64), total["own"].astype(np.int64)
+        pos = told["pos"].to_numpy()
+        c[pos], group[pos] = told["c"].to_numpy(), told["grp"].to_numpy()
         now = np.where((single >= 0) & (c > 0), single, band_class(c, group))
         before = np.where((single >= 0) & (c > 1), single, band_class(c - 1, group))
-        at = {w: k for k, w in enumerate(names)}
+        end = len(c)
         c, now, before = np.append(c, ends), np.append(now, END), np.append(before, END)
         logs, all_base, out = np.log10(c + SMOOTH), np.log10(n + SMOOTH * (v + 1)), []
         count_logs = np.where((now != END) & (now != UNKNOWN), np.log10(np.maximum(c, 1)), 0.0)
-        for text, held in zip(docs["text"], docs["held_out"], strict=True):
-            k = np.array([*map(at.__getitem__, words_of(text)), len(at)], np.int64)
-            out.append((len(k), int((c[k] > 0).sum()), float(logs[k].sum() - len(k) * all_base), float(count_logs[k].sum()), now[k].astype("<i2").tobytes(), None if held else before[k].astype("<i2").tobytes()))
-        found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "counts_log", "codes", "train_codes"])
-        return found.assign(doc_id=docs["doc_id"].to_numpy(), held_out=docs["held_out"].to_numpy())
+        now, before = now.astype("<i2"), before.astype("<i2")
+        texts = rows.filter(pa.compute.equal(rows["kind"], TEXT))
+        for body, held in zip(texts["body"].to_pylist(), texts["held_out"].to_pylist(), strict=True):
+            k = np.append(np.frombuffer(body, "<i4"), end)
+            out.append((len(k), int((c[k] > 0).sum()), float(logs[k].sum() - len(k) * all_base), float(count_logs[k].sum()), now[k].tobytes(), None if held else before[k].tobytes()))
+        found = [pa.array(x, f) for x, f in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()), strict=True)]
+        return pa.table([*found, texts["doc_id"], texts["held_out"]], names=["n_tokens", "n_known", "base_score", "counts_log", "codes", "train_codes", "doc_id", "held_out"])
 
     return run
 
@@ -330,7 +353,7 @@ def _shares(first: DataFrame, names: list[bytes]) -> np.ndarray:
     return sums
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_words: int = PIECE_WORDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Rows whose crc32 of the id as text (null: empty text) leaves remainder 0 by 10 are held out of every count. Null
@@ -341,22 +364,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     ship(spark)
     sc = spark.sparkContext
-    rows = _dealt(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("held_out", crc_of_id("doc_id") % 10 == 0)
     training = rows.where("not held_out").select("text")
     names = frequent_words(training)
-    groups = sc.broadcast(word_groups(training, names))  # at most FREQUENT words
-    listed = durable(rows.select("split", "text", (~F.col("held_out")).alias("train")).mapInArrow(_words(groups), "split long, word binary, grp int, n long"))
-    by_group = listed.groupBy("word", "grp").agg(F.sum("n").alias("n"))
-    first = durable(by_group.groupBy("word").agg(F.sum("n").alias("c"), F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp")))
+    known = sc.broadcast((names, word_groups(training, names)))  # at most FREQUENT words
+    pieces = durable(rows.mapInArrow(_pieces(known, piece_words), PIECE_ROW))
+    listed = pieces.where(F.col("kind") == WORD_ROW)
+    by_group = listed.groupBy("word", "grp").agg(F.sum("n").alias("n"), F.count("*").alias("pieces"))
+    first = durable(by_group.groupBy("word").agg(F.sum("n").alias("c"), F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp"), F.sum("pieces").alias("pieces")))
     ends = training.count()
     words, distinct = first.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).head()
     n, v = words + ends, distinct + (ends > 0)
     sums = _shares(first.where("c > 0"), names)
 
-    counts = listed.select("split", "word").join(first, "word").select("split", "word", "c", "grp")  # a word may come once a document group
-    coded = rows.groupBy("split").cogroup(counts.groupBy("split")).applyInPandas(_coded(sc.broadcast(names), float(n), v, ends), CODED)
-    coded = durable(coded)
-    discard(listed)
+    told = listed.select("piece", "pos", "word").join(first.where("pieces > 1").select("word", "c", "grp"), "word").select(F.col("piece").alias("of"), "pos", "c", "grp")
+    own = pieces.where(F.col("kind") != WORD_ROW).select("piece", "kind", "doc_id", "held_out", "body")
+    coded = durable(own.groupBy("piece").cogroup(told.groupBy("of")).applyInArrow(_coded(float(n), v, ends), CODED))
+    discard(pieces)
+    discard(first)
     train_codes = coded.where("not held_out").select("train_codes")
     tokens = np.full(CLASSES, SMOOTH)
     for r in train_codes.mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # one a class

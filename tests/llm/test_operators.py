@@ -222,6 +222,9 @@ def test_lm_scores(docs, none):
     want = {d: sum(np.log10((counts.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None]) for d, w in texts}
     for r in rows:
         assert r.base_score == pytest.approx(want[r.doc_id]) and r.train_tokens == n and np.isfinite(r.score)
+    # Counts are those of the whole corpus, however small the pieces that list it.
+    for r in lm_scores(docs, piece_words=40).collect():
+        assert r.base_score == pytest.approx(want[r.doc_id]) and r.train_tokens == n
     assert lm_scores(none).count() == 0
 
 

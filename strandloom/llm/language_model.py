@@ -17,7 +17,8 @@ triples, weighted by their counts, from common parameters, and the results are a
 A pass over the texts cuts each task's rows into pieces of bounded vocabulary: it numbers a piece's distinct words and
 writes each text as those numbers, each word once with its count, and one row with all of the piece's own counts. An
 aggregation counts the words. Those of more than one piece are then told to their pieces, by number; a word of one
-piece alone is known there already. So neither texts nor words are shuffled but for the counting.
+piece alone is known there already. So texts are shuffled as numbers only, to meet these counts, and words only to be counted
+and looked up.
 """
 
 from __future__ import annotations

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -301,7 +300,7 @@ def codec_choice(spark, sf):
 
 def _archive(ordered: bool, paired: bool, second: int = 100):
     def run(spark, sf):
-        path = f"{checkpoint_folder(spark) if not spark.sparkContext.master.startswith('local[') else tempfile.mkdtemp()}/archive-{uuid.uuid4().hex}"
+        path = f"{checkpoint_folder(spark)}/archive-{uuid.uuid4().hex}"
         docs = _documents(spark, sf)
         if not paired:
             archive.write(src.document_reads(docs), path, ordered)

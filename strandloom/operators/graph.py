@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,42 +33,86 @@ def labelled(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("root"))
 
 
+def contracted(picks: DataFrame) -> DataFrame:
+    """(node, root) for picks(u, v), the other end of each node's least edge, by pointer jumping.
+
+    In a total order of edges the picks have no circle but the two ends of an edge that picked each other; the smaller
+    of those is the root.
+    """
+    other = picks.select(F.col("u").alias("v"), F.col("v").alias("back"))
+    top = (F.col("back") == F.col("u")) & (F.col("u") < F.col("v"))
+    roots = durable(picks.join(other, "v").select(F.col("u").alias("node"), F.when(top, F.col("u")).otherwise(F.col("v")).alias("root")))
+    while True:
+        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        after = durable(roots.join(jump, "root").select("node", "root", "next"))
+        roots = after.select("node", F.col("next").alias("root"))
+        if not after.where("root <> next").limit(1).count():
+            return roots
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest by Boruvka rounds; edges are in the total order (dif, rid, prid, shift, isrc)."""
+    """Minimum spanning forest by Boruvka rounds; edges are in the total order (dif, rid, prid, shift, isrc).
+
+    Of the edges between two contracted nodes only the least goes on, so the rest shrinks with the nodes.
+    """
     columns = ("dif", "rid", "prid", "shift", "isrc")
-    rest = durable(edges.select(*columns).where("rid <> prid").distinct().select(*columns, F.col("rid").alias("u"), F.col("prid").alias("v")))
+    ranked = F.min(F.struct(*columns)).alias("e")
+    lightest = lambda rows: rows.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(ranked).select("e.*", "u", "v")
+    rest = durable(lightest(edges.select(*columns, F.col("rid").alias("u"), F.col("prid").alias("v")).where("rid <> prid")))
     taken = None
     while rest.limit(1).count():
-        ends = rest.select("u", F.struct(*columns, "u", "v").alias("e")).unionByName(rest.select(F.col("v").alias("u"), F.struct(*columns, "u", "v").alias("e")))
-        best = durable(ends.groupBy("u").agg(F.min("e").alias("e")).select("e.*").distinct())
-        taken = best.select(*columns) if taken is None else taken.unionByName(best.select(*columns))
-        roots = durable(labelled(best.select("u", "v")))
+        edge = F.struct(*columns, "u", "v").alias("e")
+        ends = rest.select("u", edge).unionByName(rest.select(F.col("v").alias("u"), edge))
+        best = durable(ends.groupBy(F.col("u").alias("node")).agg(F.min("e").alias("e")).select("node", "e.*"))
+        picked = best.select(*columns).distinct()
+        taken = picked if taken is None else taken.unionByName(picked)
+        roots = contracted(best.select(F.col("node").alias("u"), F.when(F.col("u") == F.col("node"), F.col("v")).otherwise(F.col("u")).alias("v")))
         to = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         joined = rest.join(to("u"), "u").join(to("v"), "v").where("u_root <> v_root")
-        rest = durable(joined.select(*columns, F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+        rest = durable(lightest(joined.select(*columns, F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
     return edges.select(*columns).limit(0) if taken is None else taken
 
 
-def _walk(tree: pd.DataFrame) -> pd.DataFrame:
-    """Preorder from the tree's smallest id; children by id, edges turned where they are walked from their child."""
+def _walk(trees: pd.DataFrame) -> pd.DataFrame:
+    """Preorder of whole trees, each from its smallest id; children by id, edges turned where walked from their child."""
     near = defaultdict(list)
-    for rid, prid, shift, isrc in zip(tree.rid, tree.prid, tree["shift"], tree.isrc, strict=True):
+    for rid, prid, shift, isrc in zip(trees.rid, trees.prid, trees["shift"], trees.isrc, strict=True):
         near[prid].append((rid, shift, isrc))
         near[rid].append((prid, shift if isrc else -shift, isrc))
-    root = int(tree.root.iloc[0])
-    out, stack, last = [], [(root, root, 0, 0, 0)], -1
-    while stack:
-        node, parent, shift, isrc, depth = stack.pop()
-        out.append((node, parent, shift, isrc, root, depth, len(out), last - depth + 1 if out else 0))
-        last = depth
-        stack += [(c, node, s, r, depth + 1) for c, s, r in sorted(near[node], reverse=True) if c != parent]
+    out = []
+    for root in trees.root.unique():
+        began, last, stack = len(out), -1, [(root, root, 0, 0, 0)]
+        while stack:
+            node, parent, shift, isrc, depth = stack.pop()
+            place = len(out) - began
+            out.append((node, parent, shift, isrc, root, depth, place, last - depth + 1 if place else 0))
+            last = depth
+            stack += [(c, node, s, r, depth + 1) for c, s, r in sorted(near[node], reverse=True) if c != parent]
     return pd.DataFrame(out, columns=["read_id", "prid", "shift", "isrc", "root", "depth", "preorder", "back_step"])
 
 
+def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come in order of root; the last tree of a batch waits for the next one."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if rows.empty:
+            continue
+        cut = int(np.searchsorted(rows.root.to_numpy(), rows.root.iloc[-1]))
+        if held and held[0].root.iloc[0] == rows.root.iloc[-1]:
+            held.append(rows)
+            continue
+        if held or cut:
+            yield _walk(pd.concat([*held, rows.iloc[:cut]]))
+        held = [rows.iloc[cut:]]
+    if held:
+        yield _walk(pd.concat(held))
+
+
 def rooted(forest: DataFrame) -> DataFrame:
-    """read_id, prid (own id at the root), shift, isrc, root, depth, preorder, back_step. A tree is walked by one task."""
+    """read_id, prid (own id at the root), shift, isrc, root, depth, preorder, back_step. A task walks many trees, a tree is in one."""
     roots = labelled(forest.select(F.col("rid").alias("u"), F.col("prid").alias("v")))
-    return forest.join(roots, forest.rid == roots.node).select("rid", "prid", "shift", "isrc", "root").groupBy("root").applyInPandas(_walk, FOREST)
+    rows = forest.join(roots, forest.rid == roots.node).select("rid", "prid", "shift", "isrc", "root")
+    return rows.repartition("root").sortWithinPartitions("root").mapInPandas(_walks, FOREST)
 
 
 def in_order(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:

@@ -37,8 +37,12 @@ def _cleaned_sql(n: bool = False) -> str:
     return f"g AS (SELECT doc_id, regexp_replace(translate(lower(text), '{LETTERS}', '{to}'), '{'[^ACGTN]' if n else '[^ACGT]'}', '', 'g') AS g FROM documents)"
 
 
-READS = f"{_cleaned_sql()}, reads AS (SELECT doc_id * 1000 + o AS read_id, substr(g, o + 1, 100) AS seq FROM (SELECT doc_id, g, unnest(range(0, least(length(g) - 100, 199) + 1, 40)) AS o FROM g WHERE length(g) >= 100))"
-READS_N = f"{_cleaned_sql(True)}, reads AS (SELECT doc_id AS read_id, substr(g, 1, 100) AS seq FROM g WHERE length(g) >= 100)"
+def _windows_sql(length: int) -> str:
+    return f"wins AS (SELECT doc_id * {src.WINDOWS} + n AS id, substr(g, least(n * {length}, length(g) - {length}) + 1, {length}) AS w FROM (SELECT doc_id, g, unnest(range(0, (length(g) - 1) // {length} + 1)) AS n FROM g WHERE length(g) >= {length}))"
+
+
+READS = f"{_cleaned_sql()}, {_windows_sql(100)}, reads AS (SELECT id AS read_id, w AS seq FROM wins)"
+READS_N = f"{_cleaned_sql(True)}, {_windows_sql(100)}, reads AS (SELECT id AS read_id, w AS seq FROM wins)"
 RC = "reverse(translate({}, 'ACGTN', 'TGCAN'))"
 CANON = f"least(seq, {RC.format('seq')})"
 DISTINCT = f"{READS}, named AS (SELECT read_id, seq, {CANON} AS canon FROM reads), uniq AS (SELECT min(read_id) AS read_id, arg_min(seq, read_id) AS seq FROM named GROUP BY canon)"
@@ -77,7 +81,7 @@ cand AS (SELECT a.read_id AS probe, b.read_id AS found, CASE WHEN a.pos = b.pos
 turned AS (SELECT *, greatest(probe, found) AS rid, least(probe, found) AS prid, CASE WHEN bs = 1 THEN -gap ELSE gap END AS s0 FROM cand),
 flat AS (SELECT probe, kind, rid, prid, CAST(CASE WHEN probe < found AND isrc = 0 THEN -s0 ELSE s0 END AS INTEGER) AS shift, CAST(dif AS INTEGER) AS dif, isrc FROM turned),
 top5 AS (SELECT rid, prid, shift, dif, isrc FROM (SELECT *, rank() OVER (PARTITION BY probe ORDER BY dif) AS place FROM flat WHERE dif > 0 AND dif < 90) WHERE place <= 5)"""
-PAIRS = f"{_cleaned_sql()}, pairs AS (SELECT doc_id AS pair_id, substr(g, 1, 100) AS mate1, {RC.format('substr(g, 61, 100)')} AS mate2, {RC.format('substr(g, 61, 80)')} AS short2 FROM g WHERE length(g) >= 160)"
+PAIRS = f"{_cleaned_sql()}, {_windows_sql(160)}, pairs AS (SELECT id AS pair_id, substr(w, 1, 100) AS mate1, {RC.format('substr(w, 61, 100)')} AS mate2, {RC.format('substr(w, 61, 80)')} AS short2 FROM wins)"
 REACH = """both_ways AS (SELECT rid AS u, prid AS v FROM top5 UNION SELECT prid, rid FROM top5),
 reach AS (SELECT u AS node, u AS root FROM both_ways UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.node),
 comps AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
@@ -131,7 +135,9 @@ def n_kmer_values(spark, sf):
 
 
 def packed_positions(spark, sf):
-    rows = sk.minimizers(_reads(spark, sf), 15).select("read_id", "pos", "strand", fn.pack_position(F.col("read_id"), F.col("pos"), F.col("strand"), F.lit(0)).alias("y"))
+    # A packed place has 31 bits for a read, so it holds the read's number in the collection.
+    numbered = graph.in_order(_reads(spark, sf), ("read_id",), "number").select(F.col("number").alias("read_id"), "seq")
+    rows = sk.minimizers(numbered, 15).select("read_id", "pos", "strand", fn.pack_position(F.col("read_id"), F.col("pos"), F.col("strand"), F.lit(0)).alias("y"))
     u = fn.unpack_position(F.col("y"))
     return rows.select("read_id", "y", ((u["read_id"] == F.col("read_id")) & (u["pos"] == F.col("pos")) & (u["strand"] == F.col("strand"))).alias("same"))
 
@@ -292,7 +298,7 @@ def read_length_check(spark, sf):
 
 
 def codec_choice(spark, sf):
-    rows = _reads(spark, sf).groupBy(F.floor(F.col("read_id") / 100_000).alias("block")).agg(F.array_join(F.array_sort(F.collect_list("seq")), "\n").cast("binary").alias("raw"))
+    rows = _reads(spark, sf).groupBy(F.floor(F.col("read_id") / (16 * src.WINDOWS)).alias("block")).agg(F.array_join(F.array_sort(F.collect_list("seq")), "\n").cast("binary").alias("raw"))
     best = codec.smaller(codec.block_sort_compress("raw"), codec.dictionary_compress("raw"))
     rows = rows.withColumn("best", best)
     return rows.select("block", (codec.decompress(F.col("best.data"), F.col("best.codec")) == F.col("raw")).alias("same"), (F.octet_length("best.data") < F.octet_length("raw")).alias("smaller"))
@@ -323,7 +329,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "kmer_values": (kmer_values, f"WITH {READS}, k AS (SELECT read_id, {_value_sql('substr(seq, p, 15)')} AS v FROM (SELECT *, unnest(range(1, 87)) AS p FROM reads)) SELECT read_id, count(*) AS n, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total FROM k GROUP BY read_id"),
     "kmer_hash": (kmer_hash, f"WITH {READS}, k AS ({_hash_sql(f'SELECT read_id, {_value_sql("substr(seq, p, 16)")} AS v FROM (SELECT *, unnest(range(1, 86)) AS p FROM reads)', 16)}) SELECT read_id, min(h) AS low, max(h) AS high, CAST(sum(h) AS BIGINT) AS total FROM k GROUP BY read_id"),
     "n_kmer_values": (n_kmer_values, f"WITH {READS_N}, k AS (SELECT read_id, list_reduce(list_transform(range(1, 16), lambda i: (CASE substr(kmer, i, 1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END | CASE WHEN substr(kmer, i + 1, 1) = 'N' THEN 1 ELSE 0 END)::BIGINT), lambda a, b: a * 4 + b) AS v FROM (SELECT read_id, substr(seq, p, 15) AS kmer FROM (SELECT *, unnest(range(1, 87)) AS p FROM reads))) SELECT read_id, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total FROM k GROUP BY read_id"),
-    "packed_positions": (packed_positions, f"WITH {READS}, {_sketch_sql(15)} SELECT read_id, (read_id << 32) + pos * 4 + strand * 2 AS y, true AS same FROM sketch"),
+    "packed_positions": (packed_positions, f"WITH {READS}, numbered AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, seq FROM reads), {_sketch_sql(15, source='numbered')} SELECT read_id, (read_id << 32) + pos * 4 + strand * 2 AS y, true AS same FROM sketch"),
     "minimizer_k15": (_minimizer(15, "min"), f"WITH {READS}, {_sketch_sql(15)} SELECT read_id, h, strand, pos FROM sketch"),
     "minimizer_k31": (_minimizer(31, "min"), f"WITH {READS}, {_sketch_sql(31)} SELECT read_id, h, strand, pos FROM sketch"),
     "maximizer_k15": (_minimizer(15, "max"), f"WITH {READS}, {_sketch_sql(15, 'max')} SELECT read_id, h, strand, pos FROM sketch"),
@@ -358,7 +364,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "paired_edge_weight": (paired_edge_weight, f"WITH {PAIRS} SELECT pair_id, CAST(3 * hamming(substr(mate1, 61, 40), substr({RC.format('short2')}, 1, 40)) + greatest(60, 40) AS INTEGER) AS dif FROM pairs"),
     "pair_concat": (pair_concat, f"WITH {PAIRS}, i AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS k, count(*) OVER () AS n FROM pairs) SELECT k AS read_id, mate1 AS seq FROM i UNION ALL SELECT k + n, mate2 FROM i"),
     "read_length_check": (read_length_check, f"WITH {READS} SELECT CAST(length(seq) AS INTEGER) AS length, count(*) AS n FROM reads GROUP BY 1"),
-    "codec_choice": (codec_choice, f"WITH {READS} SELECT DISTINCT CAST(read_id // 100000 AS BIGINT) AS block, true AS same, true AS smaller FROM reads"),
+    "codec_choice": (codec_choice, f"WITH {READS} SELECT DISTINCT CAST(read_id // {16 * src.WINDOWS} AS BIGINT) AS block, true AS same, true AS smaller FROM reads"),
     "archive_roundtrip_se": (_archive(False, False), f"WITH {READS} SELECT seq FROM reads"),
     "archive_roundtrip_se_ord": (_archive(True, False), f"WITH {READS} SELECT read_id, seq FROM reads"),
     "archive_roundtrip_pe": (_archive(False, True), f"WITH {PAIRS} SELECT mate1, mate2 FROM pairs"),

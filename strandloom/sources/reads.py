@@ -119,29 +119,38 @@ def _clean(documents: DataFrame, with_n: bool = False) -> DataFrame:
     return documents.select("doc_id", F.regexp_replace(text, "[^ACGTN]" if with_n else "[^ACGT]", "").alias("g"))
 
 
-def document_reads(documents: DataFrame, length: int = 100, step: int = 40, last: int = 199) -> DataFrame:
-    """Test collection: windows of each document's letters, mapped to bases."""
-    rows = _clean(documents).where(F.length("g") >= length)
-    rows = rows.select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.least(F.length("g") - length, F.lit(last)), F.lit(step))).alias("o"))
-    return rows.select((F.col("doc_id") * 1000 + F.col("o")).alias("read_id"), F.substring("g", F.col("o") + 1, F.lit(length)).alias("seq"))
+#: Ids of a document's windows: as many as a text of a hundred million letters has.
+WINDOWS = 1 << 20
+
+
+def _windows(documents: DataFrame, length: int, with_n: bool = False) -> DataFrame:
+    """(id, w): the whole of each document's letters in windows end to end; the last one ends with the document."""
+    rows = _clean(documents, with_n).where(F.length("g") >= length)
+    rows = rows.select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - 1) / length).cast("int"))).alias("n"))
+    start = F.least(F.col("n") * length, F.length("g") - length)
+    return rows.select((F.col("doc_id") * WINDOWS + F.col("n")).alias("id"), F.substring("g", start + 1, F.lit(length)).alias("w"))
+
+
+def document_reads(documents: DataFrame, length: int = 100) -> DataFrame:
+    """Test collection: each document's letters, mapped to bases."""
+    return _windows(documents, length).select(F.col("id").alias("read_id"), F.col("w").alias("seq"))
 
 
 def document_reads_rc(documents: DataFrame, length: int = 100) -> DataFrame:
-    """First windows, every third document's reverse-complemented."""
+    """The same, every third read reverse-complemented."""
     from ..functions.sequence import reverse_complement
 
-    rows = _clean(documents).where(F.length("g") >= length).select(F.col("doc_id").alias("read_id"), F.substring("g", 1, length).alias("seq"))
+    rows = document_reads(documents, length)
     return rows.withColumn("seq", F.when(F.col("read_id") % 3 == 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
 
 
 def document_reads_n(documents: DataFrame, length: int = 100) -> DataFrame:
-    """First windows with z read as N."""
-    return _clean(documents, True).where(F.length("g") >= length).select(F.col("doc_id").alias("read_id"), F.substring("g", 1, length).alias("seq"))
+    """The same with z read as N."""
+    return _windows(documents, length, True).select(F.col("id").alias("read_id"), F.col("w").alias("seq"))
 
 
 def document_pairs(documents: DataFrame, second: int = 100) -> DataFrame:
-    """pair_id, mate1, mate2: the mate starts 60 bases on and is reverse-complemented."""
+    """pair_id, mate1, mate2 of fragments of 160 letters: the mate starts 60 bases on and is reverse-complemented."""
     from ..functions.sequence import reverse_complement
 
-    rows = _clean(documents).where(F.length("g") >= 160)
-    return rows.select(F.col("doc_id").alias("pair_id"), F.substring("g", 1, 100).alias("mate1"), reverse_complement(F.substring("g", 61, second)).alias("mate2"))
+    return _windows(documents, 160).select(F.col("id").alias("pair_id"), F.substring("w", 1, 100).alias("mate1"), reverse_complement(F.substring("w", 61, second)).alias("mate2"))

@@ -38,7 +38,8 @@ def _cleaned_sql(n: bool = False) -> str:
 
 
 def _windows_sql(length: int) -> str:
-    return f"wins AS (SELECT doc_id * {src.WINDOWS} + n AS id, substr(g, least(n * {length}, length(g) - {length}) + 1, {length}) AS w FROM (SELECT doc_id, g, unnest(range(0, (length(g) - 1) // {length} + 1)) AS n FROM g WHERE length(g) >= {length}))"
+    whole = f"SELECT doc_id, CASE WHEN length(g) < {length} THEN substr(repeat(g, {length}), 1, {length}) ELSE g END AS g FROM g WHERE g <> ''"
+    return f"wins AS (SELECT doc_id * {src.WINDOWS} + n AS id, substr(g, least(n * {length}, length(g) - {length}) + 1, {length}) AS w FROM (SELECT doc_id, g, unnest(range(0, (length(g) - 1) // {length} + 1)) AS n FROM ({whole})))"
 
 
 READS = f"{_cleaned_sql()}, {_windows_sql(100)}, reads AS (SELECT id AS read_id, w AS seq FROM wins)"

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import discard, durable
 
+#: Edges of a tree that one task walks whole; larger trees are spread.
+TREE = 200_000
 FOREST = "read_id long, prid long, shift int, isrc int, root long, depth int, preorder long, back_step int"
 
 
@@ -28,6 +30,7 @@ def labelled(links: DataFrame) -> DataFrame:
         jump = down.select(F.col("u").alias("m"), F.col("m").alias("next"))
         after = durable(down.join(jump, "m").select("u", "l", F.least("m", "next").alias("m")))
         moved = after.where("l <> m").limit(1).count()
+        discard(labels)
         labels = after.select("u", F.col("m").alias("l"))
         if not moved:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("root"))
@@ -45,6 +48,7 @@ def contracted(picks: DataFrame) -> DataFrame:
     while True:
         jump = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
         after = durable(roots.join(jump, "root").select("node", "root", "next"))
+        discard(roots)
         roots = after.select("node", F.col("next").alias("root"))
         if not after.where("root <> next").limit(1).count():
             return roots
@@ -69,12 +73,18 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         roots = contracted(best.select(F.col("node").alias("u"), F.when(F.col("u") == F.col("node"), F.col("v")).otherwise(F.col("u")).alias("v")))
         to = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         joined = rest.join(to("u"), "u").join(to("v"), "v").where("u_root <> v_root")
-        rest = durable(lightest(joined.select(*columns, F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
+        after = durable(lightest(joined.select(*columns, F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
+        discard(rest)
+        discard(roots)
+        rest = after
     return edges.select(*columns).limit(0) if taken is None else taken
 
 
 def _walk(trees: pd.DataFrame) -> pd.DataFrame:
-    """Preorder of whole trees, each from its smallest id; children by id, edges turned where walked from their child."""
+    """Preorder of whole trees, each from its smallest id; edges turned where walked from their child.
+
+    Children come in order of id, starting behind their parent's id and going on from the smallest.
+    """
     near = defaultdict(list)
     for rid, prid, shift, isrc in zip(trees.rid, trees.prid, trees["shift"], trees.isrc, strict=True):
         near[prid].append((rid, shift, isrc))
@@ -87,7 +97,7 @@ def _walk(trees: pd.DataFrame) -> pd.DataFrame:
             place = len(out) - began
             out.append((node, parent, shift, isrc, root, depth, place, last - depth + 1 if place else 0))
             last = depth
-            stack += [(c, node, s, r, depth + 1) for c, s, r in sorted(near[node], reverse=True) if c != parent]
+            stack += [(c, node, s, r, depth + 1) for c, s, r in sorted(near[node], key=lambda x: (x[0] < parent, x[0]), reverse=True) if c != parent]
     return pd.DataFrame(out, columns=["read_id", "prid", "shift", "isrc", "root", "depth", "preorder", "back_step"])
 
 
@@ -108,21 +118,85 @@ def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _walk(pd.concat(held))
 
 
-def rooted(forest: DataFrame) -> DataFrame:
-    """read_id, prid (own id at the root), shift, isrc, root, depth, preorder, back_step. A task walks many trees, a tree is in one."""
+def rooted(forest: DataFrame, most: int = TREE) -> DataFrame:
+    """read_id, prid (own id at the root), shift, isrc, root, depth, preorder, back_step.
+
+    Trees of up to `most` edges are walked whole, many in a task; larger ones go through an Euler tour on all tasks. Both
+    give the same rows.
+    """
     roots = labelled(forest.select(F.col("rid").alias("u"), F.col("prid").alias("v")))
-    rows = forest.join(roots, forest.rid == roots.node).select("rid", "prid", "shift", "isrc", "root")
-    return rows.repartition("root").sortWithinPartitions("root").mapInPandas(_walks, FOREST)
+    rows = durable(forest.join(roots, forest.rid == roots.node).select("rid", "prid", "shift", "isrc", "root"))
+    large = rows.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root")
+    walked = rows.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root").mapInPandas(_walks, FOREST)
+    if not large.limit(1).count():
+        return walked
+    return walked.unionByName(toured(rows.join(large, "root", "left_semi")))
+
+
+def ranked(links: DataFrame) -> DataFrame:
+    """(a, d): how many elements each linked list has from element a on, for links(a, s) to the next one or null, by pointer doubling."""
+    state = durable(links.select("a", "s", F.lit(1).cast("long").alias("d")))
+    while state.where("s is not null").limit(1).count():
+        ahead = state.select(F.col("a").alias("s"), F.col("s").alias("next"), F.col("d").alias("more"))
+        moved = state.where("s is not null").join(ahead, "s").select("a", F.col("next").alias("s"), (F.col("d") + F.col("more")).alias("d"))
+        after = durable(moved.unionByName(state.where("s is null")))
+        discard(state)
+        state = after
+    return state.select("a", "d")
+
+
+def toured(rows: DataFrame) -> DataFrame:
+    """The columns of rooted() for trees of any size and shape, given as edges (rid, prid, shift, isrc, root).
+
+    Every edge is walked once each way. After an arc from u to v the tour leaves v to the neighbour that follows u there,
+    so the arcs of a tree are a list; ranking it tells which way each edge is walked first, and prefix sums along the
+    tour give depth and preorder. Neighbours are found by dense numbers of all arcs, so a node of any degree is spread.
+    """
+    turned = F.when(F.col("isrc") == 1, F.col("shift")).otherwise(-F.col("shift")).alias("shift")
+    arcs = rows.select(F.col("prid").alias("u"), F.col("rid").alias("v"), "shift", "isrc", "root").unionByName(rows.select(F.col("rid").alias("u"), F.col("prid").alias("v"), turned, "isrc", "root"))
+    arcs = durable(in_order(arcs, ("v", "u"), "a"))
+    after = arcs.select((F.col("a") - 1).alias("a"), F.col("v").alias("at"), F.col("u").alias("w"))
+    first = arcs.groupBy("v").agg(F.min("u").alias("first"))
+    near = durable(arcs.join(after, "a", "left").select("a", "u", "v", "root", F.when(F.col("at") == F.col("v"), F.col("w")).alias("w")))
+    inner = near.where("w is not null").select("a", "v", "w")
+    # A node's last arc goes on to its first neighbour; at the root the tour ends.
+    last = near.where("w is null and v <> root").join(first, "v").select("a", "v", F.col("first").alias("w"))
+    follows = inner.unionByName(last).join(arcs.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("a").alias("s")), ["v", "w"]).select("a", "s")
+    ends = near.where("w is null and v = root").select("a", F.lit(None).cast("long").alias("s"))
+    ranks = ranked(follows.unionByName(ends))
+    told = durable(arcs.join(ranks, "a"))
+    back = told.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("d").alias("back"))
+    told = told.join(back, ["u", "v"]).withColumn("down", F.col("d") > F.col("back")).withColumn("place", -F.col("d"))
+    told = running(told, ("root", "place"), {"nodes": F.when(F.col("down"), 1).otherwise(0), "depth": F.when(F.col("down"), 1).otherwise(-1)})
+    down = durable(told.where("down").select(F.col("v").alias("read_id"), F.col("u").alias("prid"), "shift", "isrc", "root", "depth", "nodes"))
+    starts = down.groupBy("root").agg((F.min("nodes") - 1).alias("start"))  # one row a large tree
+    found = down.join(starts, "root").withColumn("preorder", F.col("nodes") - F.col("start"))
+    before = found.select("root", (F.col("preorder") + 1).alias("preorder"), F.col("depth").alias("last"))
+    found = found.join(before, ["root", "preorder"], "left").withColumn("back_step", F.coalesce("last", F.lit(0)) - F.col("depth") + 1)
+    top = starts.select(F.col("root").alias("read_id"), F.col("root").alias("prid"), F.lit(0).alias("shift"), F.lit(0).alias("isrc"), "root", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("preorder"), F.lit(0).alias("back_step"))
+    ints = [F.col(c).cast(k).alias(c) for c, k in (x.split(" ") for x in FOREST.split(", "))]
+    return durable(found.select(*ints).unionByName(top.select(*ints)))
+
+
+def running(rows: DataFrame, columns: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of values up to and with each row, in order of `columns`, by prefix sums of block totals.
+
+    No task sorts all rows, and equal values of the first columns may lie in many blocks; `columns` should tell rows apart.
+    """
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.select(*rows.columns, *[v.cast("long").alias(f"{n}_own") for n, v in sums.items()])
+    ranged = durable(held.repartitionByRange(blocks, *columns).withColumn("block", F.spark_partition_id()))
+    totals = ranged.groupBy("block").agg(*[F.sum(f"{n}_own").alias(n) for n in sums])
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    before = totals.select("block", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}_before") for n in sums])
+    own = Window.partitionBy("block").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.select("*", *[F.sum(f"{n}_own").over(own).alias(f"{n}_sum") for n in sums])
+    return summed.join(before, "block").select(*rows.columns, *[(F.col(f"{n}_before") + F.col(f"{n}_sum")).alias(n) for n in sums])
 
 
 def in_order(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
-    """rows with dense numbers from 0 in order of `columns`, by prefix sums of block totals: no task sorts all rows."""
-    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(rows.repartitionByRange(blocks, *columns).withColumn("block", F.spark_partition_id()))
-    totals = ranged.groupBy("block").agg(F.count("*").alias("n"))
-    before = totals.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("block").orderBy(*columns))
-    return ranged.withColumn("own", own).join(before, "block").select(*rows.columns, (F.col("before") + F.col("own") - 1).cast("long").alias(name))
+    """rows with dense numbers from 0 in order of `columns`."""
+    return running(rows, columns, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def new_ids(rows: DataFrame, flag: str) -> DataFrame:

@@ -124,11 +124,18 @@ WINDOWS = 1 << 20
 
 
 def _windows(documents: DataFrame, length: int, with_n: bool = False) -> DataFrame:
-    """(id, w): the whole of each document's letters in windows end to end; the last one ends with the document."""
-    rows = _clean(documents, with_n).where(F.length("g") >= length)
-    rows = rows.select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - 1) / length).cast("int"))).alias("n"))
-    start = F.least(F.col("n") * length, F.length("g") - length)
-    return rows.select((F.col("doc_id") * WINDOWS + F.col("n")).alias("id"), F.substring("g", start + 1, F.lit(length)).alias("w"))
+    """(id, w): the whole of each document's letters in windows end to end; the last one ends with the document.
+
+    Fewer letters than a window has are repeated up to its length; a document without any has no window. One pass cuts
+    a text, and only the windows go on.
+    """
+    g, rows = F.col("g"), _clean(documents, with_n).where("g <> ''")
+    g = F.when(F.length(g) < length, F.substring(F.repeat(g, length), 1, length)).otherwise(g)
+    rows = rows.withColumn("g", g)
+    rest = F.when(F.length("g") % length > 0, F.array(F.right("g", F.lit(length)))).otherwise(F.array().cast("array<string>"))
+    cut = F.concat(F.regexp_extract_all("g", F.lit(f".{{{length}}}"), F.lit(0)), rest)
+    rows = rows.select("doc_id", F.posexplode(cut).alias("n", "w"))
+    return rows.select((F.col("doc_id") * WINDOWS + F.col("n")).alias("id"), "w")
 
 
 def document_reads(documents: DataFrame, length: int = 100) -> DataFrame:

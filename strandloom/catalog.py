@@ -305,23 +305,52 @@ def codec_choice(spark, sf):
     return rows.select("block", (codec.decompress(F.col("best.data"), F.col("best.codec")) == F.col("raw")).alias("same"), (F.octet_length("best.data") < F.octet_length("raw")).alias("smaller"))
 
 
+def _mates_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reads of both files, pairs of their ids): ids of the second file follow those of the first."""
+    top = rows.agg(F.max("pair_id")).first()[0] or 0
+    second = F.col("pair_id") + top + 1
+    both = rows.select(F.col("pair_id").alias("read_id"), F.col("mate1").alias("seq")).unionByName(rows.select(second.alias("read_id"), F.col("mate2").alias("seq")))
+    return both, rows.select("pair_id", F.col("pair_id").alias("first_id"), second.alias("second_id"))
+
+
 def _archive(ordered: bool, paired: bool, second: int = 100):
     def run(spark, sf):
         path = f"{checkpoint_folder(spark)}/archive-{uuid.uuid4().hex}"
         docs = _documents(spark, sf)
-        if not paired:
-            archive.write(src.document_reads(docs), path, ordered)
-        else:
-            rows = durable(src.document_pairs(docs, second))
-            top = rows.agg(F.max("pair_id")).first()[0] or 0
-            ends = rows.select("pair_id", F.col("pair_id").alias("first_id"), (F.col("pair_id") + top + 1).alias("second_id"))
-            both = rows.select(F.col("pair_id").alias("read_id"), F.col("mate1").alias("seq")).unionByName(rows.select((F.col("pair_id") + top + 1).alias("read_id"), F.col("mate2").alias("seq")))
+        if paired:
+            both, ends = _mates_apart(durable(src.document_pairs(docs, second)))
             archive.write(both, path, ordered, ends)
+        else:
+            archive.write(src.document_reads(docs), path, ordered)
         return archive.read(spark, path)
 
     return run
 
 
+def archive_bits(spark, sf):
+    """Bits a base of the four archive modes, with the forest of all sketches and with that of one size (k = 15)."""
+    docs, out = _documents(spark, sf), []
+    both, ends = _mates_apart(durable(src.document_pairs(docs)))
+    for paired, reads in ((False, durable(src.document_reads(docs))), (True, durable(both))):
+        bases = reads.agg(F.sum(F.length("seq"))).first()[0] or 0
+        for sketches, sizes in (("all", sk.SCHEDULE), ("k15", (15,))):
+            nodes, copies = archive.encoded(reads, sizes=sizes)
+            coded = durable(nodes), durable(copies)
+            told = coded[0].agg(F.count_if(F.col("read_id") == F.col("prid")), F.sum(F.length("delta"))).first()
+            for ordered in (False, True):
+                path = f"{checkpoint_folder(spark)}/archive-{uuid.uuid4().hex}"
+                archive.write(reads, path, ordered, ends if paired else None, coded)
+                out.append((paired, ordered, sketches, bases, told[0], told[1] or 0, archive.size(spark, path)))
+    rows = spark.createDataFrame(out, "paired boolean, ordered boolean, sketches string, bases long, roots long, letters long, bytes long")
+    return rows.withColumn("bits_a_base", F.when(F.col("bases") > 0, 8 * F.col("bytes") / F.col("bases")))
+
+
+def schedule_forest(spark, sf):
+    """Edges and weight of the forest of all forty sketches."""
+    r = durable(distinct_reads(_reads(spark, sf)))
+    return graph.forest_of(ed.schedule_sets(r, THRESHOLD)).groupBy("dif").agg(F.count("*").alias("edges"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "reverse_complement": (reverse_complement, f"WITH {READS} SELECT read_id, {RC.format('seq')} AS rc FROM reads"),
     "reverse_reads": (reverse_reads, f"WITH {READS} SELECT read_id, reverse(seq) AS reversed FROM reads"),
@@ -352,6 +381,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "components": (components, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT node, root FROM comps"),
     "component_sizes": (component_sizes, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS n FROM comps GROUP BY root"),
     "msf_total_weight": (msf_total_weight, None),
+    "schedule_forest": (schedule_forest, None),
+    "archive_bits": (archive_bits, None),
     "forest_nodes": (forest_nodes, None),
     "forest_invariants": (forest_invariants, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS nodes, true AS is_tree, true AS rooted_low FROM comps GROUP BY root"),
     "singletons": (singletons, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT rid FROM top5 UNION SELECT prid FROM top5)"),

@@ -7,7 +7,7 @@ plus the offset; of each read's candidates those among the five lightest, ties i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions.sequence import reverse_complement
+from .sketch import SCHEDULE, schedule
 
 CAP = 400
 KEPT = 5
@@ -97,6 +98,13 @@ def edges(reads: DataFrame, sketches: DataFrame, threshold: int = 90, by: tuple[
     return canonical(lightest(candidates(reads, sketches, by, threshold=threshold), threshold, extra), extra)
 
 
+def schedule_sets(reads: DataFrame, threshold: int = 90, ks: Iterable[int] = SCHEDULE, at_once: int = 10) -> Iterator[DataFrame]:
+    """Edges of the k-mer schedule, minimizers and maximizers of `at_once` sizes a set; reads must be a durable table."""
+    sizes = list(ks)
+    for lo in range(0, len(sizes), at_once):
+        yield edges(reads, schedule(reads, sizes[lo : lo + at_once]), threshold, ("k", "kind", "h"))
+
+
 def uneven_weight(overhang_child: str, overhang_parent: str, miss: str) -> str:
     """SQL of the weight for reads of different lengths: the larger overhang takes the place of the offset."""
     return f"{MISMATCH} * {miss} + greatest({overhang_child}, {overhang_parent})"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,14 +12,53 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import discard, durable
 
+#: Edges that one task finishes by itself; a bound, not a share of the data.
+FEW = 500_000
 #: Edges of a tree that one task walks whole; larger trees are spread.
 TREE = 200_000
 FOREST = "read_id long, prid long, shift int, isrc int, root long, depth int, preorder long, back_step int"
 
 
-def labelled(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of links(u, v): labels fall to the neighbourhood's least, then jump to their label's label."""
+def _united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which links joined two parts, in the order given; all nodes; each node's least reachable node)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    above, joined = list(range(len(nodes))), np.zeros(len(u), bool)
+    for k, (a, b) in enumerate(zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True)):
+        while above[a] != a:
+            above[a] = a = above[above[a]]
+        while above[b] != b:
+            above[b] = b = above[above[b]]
+        if a != b:
+            above[max(a, b)], joined[k] = min(a, b), True
+    roots = np.array(above, np.int64)
+    while len(roots) and (roots != roots[roots]).any():
+        roots = roots[roots]
+    return joined, nodes, nodes[roots] if len(roots) else nodes
+
+
+def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = [b for b in batches if len(b)]
+    if rows:
+        rows = pd.concat(rows)
+        _, nodes, roots = _united(rows.u.to_numpy(), rows.v.to_numpy())
+        yield pd.DataFrame({"node": nodes, "root": roots})
+
+
+def _kruskal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = [b for b in batches if len(b)]
+    if rows:
+        rows = pd.concat(rows).sort_values(["dif", "rid", "prid", "shift", "isrc"])
+        yield rows[_united(rows.u.to_numpy(), rows.v.to_numpy())[0]].drop(columns=["u", "v"])
+
+
+def labelled(links: DataFrame, few: int = FEW) -> DataFrame:
+    """(node, root) of every node of links(u, v): labels fall to the neighbourhood's least, then jump to their label's label.
+
+    Up to `few` links are united by one task.
+    """
     both = durable(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    if both.count() <= 2 * few:
+        return durable(both.where("u <= v").coalesce(1).mapInPandas(_labels, "node long, root long"))
     labels = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select("u", "l"))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("near"))
@@ -54,17 +93,21 @@ def contracted(picks: DataFrame) -> DataFrame:
             return roots
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+def spanning_forest(edges: DataFrame, few: int = FEW) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds; edges are in the total order (dif, rid, prid, shift, isrc).
 
-    Of the edges between two contracted nodes only the least goes on, so the rest shrinks with the nodes.
+    Of the edges between two contracted nodes only the least goes on, so the rest shrinks with the nodes. Once no more
+    than `few` edges are left, one task finishes them in order of weight.
     """
     columns = ("dif", "rid", "prid", "shift", "isrc")
     ranked = F.min(F.struct(*columns)).alias("e")
     lightest = lambda rows: rows.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(ranked).select("e.*", "u", "v")
     rest = durable(lightest(edges.select(*columns, F.col("rid").alias("u"), F.col("prid").alias("v")).where("rid <> prid")))
     taken = None
-    while rest.limit(1).count():
+    while n := rest.count():
+        if n <= few:
+            own = rest.coalesce(1).mapInPandas(_kruskal, rest.select(*columns).schema)
+            return own if taken is None else taken.unionByName(own)
         edge = F.struct(*columns, "u", "v").alias("e")
         ends = rest.select("u", edge).unionByName(rest.select(F.col("v").alias("u"), edge))
         best = durable(ends.groupBy(F.col("u").alias("node")).agg(F.min("e").alias("e")).select("node", "e.*"))
@@ -80,6 +123,24 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return edges.select(*columns).limit(0) if taken is None else taken
 
 
+def forest_of(edge_sets: Iterable[DataFrame]) -> DataFrame:
+    """Minimum spanning forest of all edge sets together, one after the other: each set meets only the forest so far.
+
+    An edge that is heaviest on a circle of a part is so on a circle of the whole, so nothing but the forest needs to be
+    kept, and what lies on disk at a time is one set and one edge a node.
+    """
+    forest = None
+    for edges in edge_sets:
+        own = edges.select("dif", "rid", "prid", "shift", "isrc")
+        after = durable(spanning_forest(own if forest is None else own.unionByName(forest)))
+        if forest is not None:
+            discard(forest)
+        forest = after
+    if forest is None:
+        raise ValueError("no edge sets")
+    return forest
+
+
 def _walk(trees: pd.DataFrame) -> pd.DataFrame:
     """Preorder of whole trees, each from its smallest id; edges turned where walked from their child.
 

@@ -7,7 +7,7 @@ Reads shorter than k have no sketch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import BASES, HASH_STEPS
 
+#: K-mer sizes of the schedule, largest first.
+SCHEDULE = range(29, 9, -1)
 SCHEMA = "read_id long, h long, strand int, pos int"
 CODE = np.full(256, 4, np.uint64)
 CODE[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
@@ -168,7 +170,7 @@ def window_minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     return _sketched(reads, run, k + w - 1)
 
 
-def schedule(reads: DataFrame, ks: range = range(29, 9, -1), kinds: tuple[str, ...] = ("min", "max")) -> DataFrame:
+def schedule(reads: DataFrame, ks: Iterable[int] = SCHEDULE, kinds: tuple[str, ...] = ("min", "max")) -> DataFrame:
     """All sketches of the k-mer schedule in one pass over the reads: read_id, k, kind, h, strand, pos."""
     ks, kinds = tuple(ks), tuple(kinds)
 

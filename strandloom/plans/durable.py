@@ -20,16 +20,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return where
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, sweep: bool = False) -> DataFrame:
     """Write as Parquet and read again, so that a lost executor costs no recomputation; the files go when the application ends.
 
-    Nothing reads behind a cut, but Spark's cleaner drops shuffle files only when the driver collects garbage, so it does so here.
+    Nothing reads behind a cut, but Spark's cleaner drops shuffle files only when the driver collects garbage; with
+    `sweep` it does so here, for chains of cuts that each leave much behind.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/strandloom-{uuid.uuid4().hex}"
-    spark._jvm.System.gc()  # what the cut before left
+    if sweep:
+        spark._jvm.System.gc()  # what the cut before left
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    if sweep:
+        spark._jvm.System.gc()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

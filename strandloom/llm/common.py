@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import discard, durable
+from ..plans import durable as cuts
+from ..plans.durable import discard
 from ..shipping import ship
 
 #: The six ASCII white-space characters that separate words everywhere in this subpackage.
@@ -15,6 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 __all__ = ["SPACES", "WORD", "crc_of_id", "discard", "durable", "ship", "table", "text_or_empty", "words_of"]
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """A cut that also lets Spark drop the shuffle files behind it."""
+    return cuts.durable(df, sweep=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

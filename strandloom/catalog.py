@@ -87,6 +87,26 @@ REACH = """both_ways AS (SELECT rid AS u, prid AS v FROM top5 UNION SELECT prid,
 reach AS (SELECT u AS node, u AS root FROM both_ways UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.node),
 comps AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
 
+DELTAS = f"""ends AS (SELECT t.*, reverse(x.seq) AS p, CASE WHEN isrc = 1 THEN {RC.format('reverse(y.seq)')} ELSE reverse(y.seq) END AS c FROM top5 t JOIN reads x ON x.read_id = prid JOIN reads y ON y.read_id = rid),
+spans AS (SELECT *, greatest(0, -shift) AS lo, least(100, 100 - shift) AS hi FROM ends),
+misses AS (SELECT *, list_filter(range(lo, hi), lambda j: c[j + 1] <> p[j + shift + 1]) AS m FROM spans),
+deltas AS (SELECT *, substr(c, 1, lo) || substr(c, hi + 1) || array_to_string(list_transform(range(1, len(m) + 1), lambda i: (m[i] - coalesce(m[i - 1], lo - 1) - 1)::VARCHAR || c[m[i] + 1]), '') AS delta FROM misses)"""
+#: By weight w, the forest has as many edges up to w as the edges up to w leave fewer parts than nodes.
+FOREST_WEIGHT = """levels AS (SELECT DISTINCT dif AS w FROM top5),
+upto AS (SELECT DISTINCT w, rid, prid FROM top5 JOIN levels ON dif <= w),
+both_ways AS (SELECT w, rid AS u, prid AS v FROM upto UNION SELECT w, prid, rid FROM upto),
+reach AS (SELECT w, u AS node, u AS root FROM both_ways UNION SELECT r.w, b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.node AND b.w = r.w),
+parts AS (SELECT w, node, min(root) AS root FROM reach GROUP BY w, node),
+counts AS (SELECT w, count(*) - count(DISTINCT root) AS n FROM parts GROUP BY w),
+steps AS (SELECT w, n - coalesce(lag(n) OVER (ORDER BY w), 0) AS edges FROM counts)"""
+
+
+def _canonical_sql(k: int) -> str:
+    """Hash h of the smaller strand at each place; null where a k-mer has an N or equals its complement."""
+    places = f"places AS (SELECT read_id, CAST(p + {k - 2} AS INTEGER) AS pos, substr(s, p, {k}) AS f, {RC.format(f'substr(s, p, {k})')} AS b FROM (SELECT read_id, s, unnest(range(1, length(s) - {k} + 2)) AS p FROM (SELECT read_id, reverse(seq) AS s FROM reads)))"
+    sound = f"SELECT read_id, pos, CAST(b < f AS INTEGER) AS strand, {_value_sql('least(f, b)')} AS v FROM places WHERE f <> b AND f NOT LIKE '%N%'"
+    return f"{places}, sound AS ({_hash_sql(sound, k)}), keyed AS (SELECT p.read_id, p.pos, h, strand FROM places p LEFT JOIN sound s ON s.read_id = p.read_id AND s.pos = p.pos)"
+
 
 def _edges_k15(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _reads(spark, sf_dir)
@@ -108,7 +128,7 @@ def reverse_reads(spark, sf):
 
 def base_codes(spark, sf):
     c = fn.base_codes(F.col("seq"))
-    return src.document_reads_n(_documents(spark, sf)).select("read_id", c.alias("codes"), (fn.from_codes(c) == F.col("seq")).alias("same"))
+    return src.document_reads_n(_documents(spark, sf)).select("read_id", c.alias("codes"), fn.from_codes(c).alias("back"))
 
 
 def base_composition(spark, sf):
@@ -140,7 +160,7 @@ def packed_positions(spark, sf):
     numbered = graph.in_order(_reads(spark, sf), ("read_id",), "number").select(F.col("number").alias("read_id"), "seq")
     rows = sk.minimizers(numbered, 15).select("read_id", "pos", "strand", fn.pack_position(F.col("read_id"), F.col("pos"), F.col("strand"), F.lit(0)).alias("y"))
     u = fn.unpack_position(F.col("y"))
-    return rows.select("read_id", "y", ((u["read_id"] == F.col("read_id")) & (u["pos"] == F.col("pos")) & (u["strand"] == F.col("strand"))).alias("same"))
+    return rows.select("read_id", "y", u["read_id"].alias("id"), u["pos"].alias("pos"), u["strand"].alias("strand"), u["flag"].alias("flag"))
 
 
 def _minimizer(k, kind):
@@ -222,7 +242,7 @@ def forest_nodes(spark, sf):
 def forest_invariants(spark, sf):
     rows = durable(forest_nodes(spark, sf))
     trees = rows.groupBy("root").agg(F.count("*").alias("nodes"), F.count_if(F.col("read_id") != F.col("prid")).alias("edges"), F.min("read_id").alias("low"))
-    return trees.select("root", "nodes", (F.col("edges") == F.col("nodes") - 1).alias("is_tree"), (F.col("low") == F.col("root")).alias("rooted_low"))
+    return trees.select("root", "nodes", "edges", "low")
 
 
 def singletons(spark, sf):
@@ -240,11 +260,11 @@ def _edge_texts(spark, sf):
 
 def delta_roundtrip(spark, sf):
     back = delta.delta_decode("p", "delta", "shift", F.length("child"))
-    return _edge_texts(spark, sf).select("rid", "prid", (back == F.col("child")).alias("same"))
+    return _edge_texts(spark, sf).select("rid", "prid", "shift", "delta", back.alias("back"))
 
 
 def delta_length_bound(spark, sf):
-    return _edge_texts(spark, sf).select("rid", "prid", (F.length("delta") <= F.col("dif")).alias("bounded"))
+    return _edge_texts(spark, sf).select("rid", "prid", F.length("delta").alias("letters"), "dif", (F.length("delta") <= F.col("dif")).alias("bounded"))
 
 
 def order_newid(spark, sf):
@@ -354,20 +374,20 @@ def schedule_forest(spark, sf):
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "reverse_complement": (reverse_complement, f"WITH {READS} SELECT read_id, {RC.format('seq')} AS rc FROM reads"),
     "reverse_reads": (reverse_reads, f"WITH {READS} SELECT read_id, reverse(seq) AS reversed FROM reads"),
-    "base_codes": (base_codes, f"WITH {READS_N} SELECT read_id, translate(seq, 'ACGTN', '01234') AS codes, true AS same FROM reads"),
+    "base_codes": (base_codes, f"WITH {READS_N} SELECT read_id, translate(seq, 'ACGTN', '01234') AS codes, seq AS back FROM reads"),
     "base_composition": (base_composition, f"WITH {READS_N} SELECT base, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS base FROM reads) GROUP BY base"),
     "kmer_values": (kmer_values, f"WITH {READS}, k AS (SELECT read_id, {_value_sql('substr(seq, p, 15)')} AS v FROM (SELECT *, unnest(range(1, 87)) AS p FROM reads)) SELECT read_id, count(*) AS n, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total FROM k GROUP BY read_id"),
     "kmer_hash": (kmer_hash, f"WITH {READS}, k AS ({_hash_sql(f'SELECT read_id, {_value_sql("substr(seq, p, 16)")} AS v FROM (SELECT *, unnest(range(1, 86)) AS p FROM reads)', 16)}) SELECT read_id, min(h) AS low, max(h) AS high, CAST(sum(h) AS BIGINT) AS total FROM k GROUP BY read_id"),
     "n_kmer_values": (n_kmer_values, f"WITH {READS_N}, k AS (SELECT read_id, list_reduce(list_transform(range(1, 16), lambda i: (CASE substr(kmer, i, 1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END | CASE WHEN substr(kmer, i + 1, 1) = 'N' THEN 1 ELSE 0 END)::BIGINT), lambda a, b: a * 4 + b) AS v FROM (SELECT read_id, substr(seq, p, 15) AS kmer FROM (SELECT *, unnest(range(1, 87)) AS p FROM reads))) SELECT read_id, min(v) AS low, max(v) AS high, CAST(sum(v) AS BIGINT) AS total FROM k GROUP BY read_id"),
-    "packed_positions": (packed_positions, f"WITH {READS}, numbered AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, seq FROM reads), {_sketch_sql(15, source='numbered')} SELECT read_id, (read_id << 32) + pos * 4 + strand * 2 AS y, true AS same FROM sketch"),
+    "packed_positions": (packed_positions, f"WITH {READS}, numbered AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, seq FROM reads), {_sketch_sql(15, source='numbered')} SELECT read_id, (read_id << 32) + pos * 4 + strand * 2 AS y, read_id AS id, pos, strand, 0 AS flag FROM sketch"),
     "minimizer_k15": (_minimizer(15, "min"), f"WITH {READS}, {_sketch_sql(15)} SELECT read_id, h, strand, pos FROM sketch"),
     "minimizer_k31": (_minimizer(31, "min"), f"WITH {READS}, {_sketch_sql(31)} SELECT read_id, h, strand, pos FROM sketch"),
     "maximizer_k15": (_minimizer(15, "max"), f"WITH {READS}, {_sketch_sql(15, 'max')} SELECT read_id, h, strand, pos FROM sketch"),
     "wide_minimizer_k40": (_wide_minimizer("min"), f"WITH {READS}, {_wide_sql()}"),
     "wide_maximizer_k40": (_wide_minimizer("max"), f"WITH {READS}, {_wide_sql(' DESC')}"),
     "kth_smallest_kmer": (kth_smallest_kmer, f"WITH {READS}, {_sketch_sql(15, nth=3)} SELECT read_id, h, strand, pos FROM sketch"),
-    "canonical_minimizer": (canonical_minimizer, None),
-    "wk_minimizers": (wk_minimizers, None),
+    "canonical_minimizer": (canonical_minimizer, f"WITH {READS_N}, {_canonical_sql(15)} SELECT read_id, h, strand, pos FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY h, pos) AS place FROM keyed WHERE h IS NOT NULL) WHERE place = 1"),
+    "wk_minimizers": (wk_minimizers, f"WITH {READS_N}, {_canonical_sql(15)}, w AS (SELECT *, CASE WHEN count(*) OVER ten = 10 THEN min(h) OVER ten END AS least FROM keyed WINDOW ten AS (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)), m AS (SELECT *, max(least) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS most FROM w) SELECT read_id, h, strand, pos FROM m WHERE h = most"),
     "sketch_schedule": (sketch_schedule, None),
     "cluster_sizes": (cluster_sizes, f"WITH {READS}, {_sketch_sql(15)} SELECT h, count(*) AS n FROM sketch GROUP BY h HAVING count(*) >= 2"),
     "cluster_index": (cluster_index, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT h, pos, read_id, CAST(rn AS INTEGER) AS rn, CAST(gs AS INTEGER) AS gs FROM n WHERE cn >= 2"),
@@ -380,14 +400,14 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "edge_weight_hist": (edge_weight_hist, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT dif, count(*) AS n FROM top5 GROUP BY dif"),
     "components": (components, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT node, root FROM comps"),
     "component_sizes": (component_sizes, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS n FROM comps GROUP BY root"),
-    "msf_total_weight": (msf_total_weight, None),
+    "msf_total_weight": (msf_total_weight, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {FOREST_WEIGHT} SELECT CAST(sum(edges) AS BIGINT) AS edges, CAST(sum(edges * w) AS BIGINT) AS weight FROM steps"),
     "schedule_forest": (schedule_forest, None),
     "archive_bits": (archive_bits, None),
     "forest_nodes": (forest_nodes, None),
-    "forest_invariants": (forest_invariants, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS nodes, true AS is_tree, true AS rooted_low FROM comps GROUP BY root"),
+    "forest_invariants": (forest_invariants, f"WITH RECURSIVE {READS}, {_sketch_sql(15)}, {EDGES}, {REACH} SELECT root, count(*) AS nodes, count(*) - 1 AS edges, min(node) AS low FROM comps GROUP BY root"),
     "singletons": (singletons, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT rid FROM top5 UNION SELECT prid FROM top5)"),
-    "delta_roundtrip": (delta_roundtrip, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, true AS same FROM top5"),
-    "delta_length_bound": (delta_length_bound, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, true AS bounded FROM top5"),
+    "delta_roundtrip": (delta_roundtrip, f"WITH {READS}, {_sketch_sql(15)}, {EDGES}, {DELTAS} SELECT rid, prid, shift, delta, c AS back FROM deltas"),
+    "delta_length_bound": (delta_length_bound, f"WITH {READS}, {_sketch_sql(15)}, {EDGES}, {DELTAS} SELECT rid, prid, CAST(length(delta) AS INTEGER) AS letters, dif, length(delta) <= dif AS bounded FROM deltas"),
     "order_newid": (order_newid, f"WITH {DISTINCT} SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS newid FROM uniq"),
     "dup_groups": (dup_groups, f"WITH {READS}, named AS (SELECT read_id, seq, {CANON} AS canon FROM reads), r AS (SELECT read_id, seq, min(read_id) OVER w AS rep_id, first_value(seq) OVER (PARTITION BY canon ORDER BY read_id) AS rep FROM named WINDOW w AS (PARTITION BY canon)) SELECT rep_id, read_id, CAST(seq <> rep AS INTEGER) AS isrc FROM r WHERE rep_id <> read_id"),
     "dup_counts": (dup_counts, f"WITH {READS}, named AS (SELECT read_id, seq, {CANON} AS canon FROM reads), r AS (SELECT read_id, seq, min(read_id) OVER w AS rep_id, first_value(seq) OVER (PARTITION BY canon ORDER BY read_id) AS rep FROM named WINDOW w AS (PARTITION BY canon)) SELECT rep_id, count(*) FILTER (seq = rep) AS forward, count(*) FILTER (seq <> rep) AS backward FROM r WHERE rep_id <> read_id GROUP BY rep_id"),

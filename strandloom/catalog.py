@@ -307,11 +307,14 @@ def paired_edge_weight(spark, sf):
     return rows.select("pair_id", F.expr(ed.uneven_weight("60", "length(other) - 40", "miss")).cast("int").alias("dif"))
 
 
+def _numbered_mates(rows: DataFrame) -> DataFrame:
+    """Pairs numbered from 0 as one collection of both files."""
+    rows = durable(graph.in_order(rows, ("pair_id",), "read_id"))
+    return src.mates(rows.select("read_id", F.col("mate1").alias("seq")), rows.select("read_id", F.col("mate2").alias("seq")))
+
+
 def pair_concat(spark, sf):
-    rows = durable(src.document_pairs(_documents(spark, sf)))
-    number = graph.new_ids(rows.select(F.col("pair_id").alias("read_id"), F.lit(True).alias("all")), "all")
-    rows = rows.join(number.withColumnRenamed("read_id", "pair_id"), "pair_id")
-    return src.mates(rows.select(F.col("newid").alias("read_id"), F.col("mate1").alias("seq")), rows.select(F.col("newid").alias("read_id"), F.col("mate2").alias("seq")))
+    return _numbered_mates(durable(src.document_pairs(_documents(spark, sf))))
 
 
 def read_length_check(spark, sf):
@@ -325,6 +328,38 @@ def codec_choice(spark, sf):
     return rows.select("block", (codec.decompress(F.col("best.data"), F.col("best.codec")) == F.col("raw")).alias("same"), (F.octet_length("best.data") < F.octet_length("raw")).alias("smaller"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/reads-{uuid.uuid4().hex}"
+
+
+def _qualities(rows: DataFrame) -> DataFrame:
+    """A quality a base, "@" and "+" among them, as both may begin a quality's line."""
+    return rows.withColumn("quality", F.translate("seq", "ACGT", "@+I>"))
+
+
+def fastq_files(spark, sf):
+    """Reads written as FASTQ and read back in ranges of a megabyte: numbers, sequences and qualities."""
+    path = _folder(spark)
+    src.write_sequences(_qualities(_reads(spark, sf)), path, "fastq")
+    return src.numbered(src.read_fastx(spark, path, 1 << 20))
+
+
+def fasta_mate_files(spark, sf):
+    """A paired collection written as two gzip FASTA folders, read back and put together."""
+    path, rows = _folder(spark), durable(src.document_pairs(_documents(spark, sf)))
+    both, n = durable(_numbered_mates(rows)), rows.count()
+    src.write_mates(both, n, path, "fasta", "gzip")
+    first, second = (durable(src.numbered(src.read_fastx(spark, f"{path}_{k}")).drop("quality")) for k in (1, 2))
+    return src.mates(first, second)
+
+
+def mate_text_files(spark, sf):
+    """The same as plain sequences, a line each: the lines of both folders with the file that they are in."""
+    path, rows = _folder(spark), durable(src.document_pairs(_documents(spark, sf)))
+    src.write_mates(_numbered_mates(rows), rows.count(), path)
+    return spark.read.text(f"{path}_1").select(F.lit(1).alias("file"), F.col("value").alias("seq")).unionByName(spark.read.text(f"{path}_2").select(F.lit(2).alias("file"), F.col("value").alias("seq")))
+
+
 def _mates_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reads of both files, pairs of their ids): ids of the second file follow those of the first."""
     top = rows.agg(F.max("pair_id")).first()[0] or 0
@@ -415,6 +450,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "mate_lookup": (mate_lookup, f"WITH {PAIRS}, c AS (SELECT count(*) AS n FROM pairs), i AS (SELECT unnest(range(0, 2 * n)) AS read_id, n FROM c) SELECT read_id, CASE WHEN read_id < n THEN read_id + n ELSE read_id - n END AS mate_id FROM i"),
     "paired_edge_weight": (paired_edge_weight, f"WITH {PAIRS} SELECT pair_id, CAST(3 * hamming(substr(mate1, 61, 40), substr({RC.format('short2')}, 1, 40)) + greatest(60, 40) AS INTEGER) AS dif FROM pairs"),
     "pair_concat": (pair_concat, f"WITH {PAIRS}, i AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS k, count(*) OVER () AS n FROM pairs) SELECT k AS read_id, mate1 AS seq FROM i UNION ALL SELECT k + n, mate2 FROM i"),
+    "fastq_files": (fastq_files, f"WITH {READS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, seq, translate(seq, 'ACGT', '@+I>') AS quality FROM reads"),
+    "fasta_mate_files": (fasta_mate_files, f"WITH {PAIRS}, i AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS k, count(*) OVER () AS n FROM pairs) SELECT k AS read_id, mate1 AS seq FROM i UNION ALL SELECT k + n, mate2 FROM i"),
+    "mate_text_files": (mate_text_files, f"WITH {PAIRS} SELECT 1 AS file, mate1 AS seq FROM pairs UNION ALL SELECT 2, mate2 FROM pairs"),
     "read_length_check": (read_length_check, f"WITH {READS} SELECT CAST(length(seq) AS INTEGER) AS length, count(*) AS n FROM reads GROUP BY 1"),
     "codec_choice": (codec_choice, f"WITH {READS} SELECT DISTINCT CAST(read_id // {16 * src.WINDOWS} AS BIGINT) AS block, true AS same, true AS smaller FROM reads"),
     "archive_roundtrip_se": (_archive(False, False), f"WITH {READS} SELECT seq FROM reads"),

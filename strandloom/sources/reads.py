@@ -1,74 +1,16 @@
-"""Read collections: FASTA/FASTQ files, plain or gzip, and the test collections derived from documents."""
+"""Read collections: numbering, checks, mates, text sinks, and the test collections derived from documents."""
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+from ..operators.graph import in_order
+from .fastx import read_fastx
 
+__all__ = ["checked", "document_pairs", "document_reads", "document_reads_n", "document_reads_rc", "mates", "numbered", "read_fastx", "read_four_line_fastq", "write_mates", "write_sequences"]
 
-def parse_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
-    """(name, sequence, quality) of FASTA and FASTQ records, both over several lines; quality None for FASTA."""
-    name, seq, line = None, [], next(lines, None)
-    while line is not None:
-        if line[:1] in (">", "@"):
-            if name is not None:
-                yield name, "".join(seq), None
-            name, seq = line[1:].split(None, 1)[0] if line[1:].strip() else "", []
-        elif line[:1] == "+" and name is not None:
-            want, quality = sum(map(len, seq)), ""
-            while len(quality) < want:
-                line = next(lines, None)
-                if line is None:
-                    break
-                quality += line.strip()
-            if len(quality) != want:
-                raise ValueError(f"record {name}: quality has {len(quality)} symbols for {want} bases")
-            yield name, "".join(seq), quality
-            name, seq = None, []
-        elif name is not None:
-            seq.append(line.strip())
-        line = next(lines, None)
-    if name is not None:
-        yield name, "".join(seq), None
-
-
-def _opened(raw: bytes) -> io.TextIOBase:
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    elif raw[:3] == b"BZh":
-        raw = bz2.decompress(raw)
-    return io.StringIO(raw.decode("ascii", "strict"))
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows, at = [], 0
-            for k, record in enumerate(parse_records(iter(_opened(raw)))):
-                rows.append((path, k, *record))
-                if len(rows) == 20_000:
-                    yield _batch(rows)
-                    rows, at = [], at + 1
-            if rows:
-                yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "ordinal", "name", "seq", "quality"])
-
-
-def read_fastx(spark: SparkSession, path: str) -> DataFrame:
-    """path, ordinal, name, seq, quality of every record; files are the unit of parallelism, so large runs come in many."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_records, "path string, ordinal long, name string, seq string, quality string")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def read_four_line_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -84,11 +26,8 @@ def read_four_line_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """read_id without gaps, in order of file and place: counts per file are summed, so no row-wise global sort is needed."""
-    files = records.groupBy("path").agg(F.count("*").alias("n"))
-    ahead = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("path", "before")
-    return records.join(files, "path").select((F.col("before") + F.col("ordinal")).alias("read_id"), "seq")
+    """read_id without gaps, seq, quality, in order of file and place there, by prefix sums: no task sorts all records."""
+    return in_order(records.select("path", "offset", "seq", "quality"), ("path", "offset"), "read_id").select("read_id", "seq", "quality")
 
 
 def checked(reads: DataFrame, length: int | None = None) -> DataFrame:
@@ -108,9 +47,22 @@ def mates(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.withColumn("read_id", F.col("read_id") + n))
 
 
-def write_sequences(reads: DataFrame, path: str) -> None:
-    """Plain sequences, one a line, in order of id."""
-    reads.orderBy("read_id").select("seq").write.text(path)
+def write_sequences(reads: DataFrame, path: str, form: str = "plain", compression: str = "none") -> None:
+    """Reads in order of id as text, in part files whose names are in that order; Spark commits them all or none.
+
+    form is plain (a sequence a line), fasta or fastq; records are named by id, and fastq takes the column quality.
+    """
+    name = F.col("read_id").cast("string")
+    line = {"plain": F.col("seq"), "fasta": F.concat(F.lit(">"), name, F.lit("\n"), "seq")}.get(form)
+    if line is None:
+        line = F.concat(F.lit("@"), name, F.lit("\n"), "seq", F.lit("\n+\n"), "quality")
+    reads.orderBy("read_id").select(line.alias("value")).write.option("compression", compression).text(path)
+
+
+def write_mates(reads: DataFrame, half: int, path: str, form: str = "plain", compression: str = "none") -> None:
+    """A paired collection as path_1 and path_2: ids of the second mates start at half."""
+    for k, own in ((1, F.col("read_id") < half), (2, F.col("read_id") >= half)):
+        write_sequences(reads.where(own), f"{path}_{k}", form, compression)
 
 
 def _clean(documents: DataFrame, with_n: bool = False) -> DataFrame:

@@ -1,4 +1,3 @@
-import gzip
 import random
 
 import duckdb
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom import catalog
 from strandloom.functions import sequence as fn
-from strandloom.operators import codec, delta, pairs
+from strandloom.operators import codec, delta
 from strandloom.operators import graph as gr
 from strandloom.operators import sketch as sk
 from strandloom.plans import archive
@@ -63,15 +62,6 @@ def test_palindrome_takes_the_forward_strand(spark):
     assert [(r.read_id, r.strand) for r in rows] == [(1, 0)]
 
 
-def test_fenwick_inverse():
-    rng = random.Random(3)
-    for n in (0, 1, 5, 40):
-        slots = list(range(2 * n))
-        rng.shuffle(slots)
-        ends = sorted(tuple(sorted(slots[2 * k : 2 * k + 2])) for k in range(n))
-        assert pairs.positions(pairs.distances(ends), 2 * n) == ends
-
-
 def test_packing():
     bits = np.array([1, 0, 1, 1, 0, 0, 0, 1, 1], bool)
     assert (codec.unpack_bits(codec.pack_bits(bits), 9) == bits).all()
@@ -79,15 +69,6 @@ def test_packing():
     assert codec.unpack_bases(codec.pack_bases("ACGNTNG", 3), 7, 3) == "ACGNTNG"
 
 
-def test_fastx_files(spark, tmp_path):
-    (tmp_path / "a.fq").write_text("@r1 x\nACGT\nAC\n+\nIIII\nII\n@r2\nTTTTTT\n+r2\n@IIIII\n")
-    (tmp_path / "b.fa.gz").write_bytes(gzip.compress(b">s1\nACG\nTAC\n>s2\nGGGGGG\n"))
-    rows = src.numbered(src.read_fastx(spark, str(tmp_path))).orderBy("read_id").collect()
-    assert [(r.read_id, r.seq) for r in rows] == [(0, "ACGTAC"), (1, "TTTTTT"), (2, "ACGTAC"), (3, "GGGGGG")]
-    with pytest.raises(ValueError):
-        list(src.parse_records(iter(["@r", "ACGT", "+", "II"])))
-
-
 def test_four_line_fastq(spark, tmp_path):
     (tmp_path / "a.fq").write_text("@r1 x\nACGT\n+\nIIII\n@r2\nTTTA\n+r2\nI@II\n")
     rows = src.read_four_line_fastq(spark, str(tmp_path / "a.fq")).collect()

@@ -83,6 +83,21 @@ turned AS (SELECT *, greatest(probe, found) AS rid, least(probe, found) AS prid,
 flat AS (SELECT probe, kind, rid, prid, CAST(CASE WHEN probe < found AND isrc = 0 THEN -s0 ELSE s0 END AS INTEGER) AS shift, CAST(dif AS INTEGER) AS dif, isrc FROM turned),
 top5 AS (SELECT rid, prid, shift, dif, isrc FROM (SELECT *, rank() OVER (PARTITION BY probe ORDER BY dif) AS place FROM flat WHERE dif > 0 AND dif < 90) WHERE place <= 5)"""
 PAIRS = f"{_cleaned_sql()}, {_windows_sql(160)}, pairs AS (SELECT id AS pair_id, substr(w, 1, 100) AS mate1, {RC.format('substr(w, 61, 100)')} AS mate2, {RC.format('substr(w, 61, 80)')} AS short2 FROM wins)"
+TOP = f"top AS (SELECT coalesce(max(pair_id), 0) + 1 AS n FROM pairs), reads AS (SELECT pair_id AS read_id, mate1 AS seq FROM pairs UNION ALL SELECT pair_id + n, short2 FROM pairs, top)"
+#: The same for two lengths: n bases lie over each other, and the larger overhang counts.
+UNEVEN = (
+    EDGES.replace("hamming(substr(b.s, 1 + b.pos - a.pos, 100), substr(a.s, 1, length(a.s) - (b.pos - a.pos))) + b.pos - a.pos AS dif", """hamming(substr(b.s, 1 + b.pos - a.pos, least(length(b.s) - (b.pos - a.pos), length(a.s))), substr(a.s, 1, least(length(b.s) - (b.pos - a.pos), length(a.s))))
+   + CASE WHEN length(a.s) = length(b.s) THEN b.pos - a.pos WHEN length(a.s) > length(b.s) - (b.pos - a.pos) THEN greatest(b.pos - a.pos, length(a.s) - length(b.s) + b.pos - a.pos) ELSE 100 END AS dif""")
+    .replace("(b.pos = a.pos AND b.rn < a.rn", "(b.pos = a.pos AND length(a.s) = length(b.s) AND b.rn < a.rn")
+    .replace("dif < 90", "dif < 70")
+)
+#: The lengths of the delta at each of six offsets; each mismatch costs its base and the digits of the run before it.
+SIX = f"""ends AS (SELECT t.*, reverse(x.seq) AS p, CASE WHEN isrc = 1 THEN {RC.format('reverse(y.seq)')} ELSE reverse(y.seq) END AS c FROM top5 t JOIN reads x ON x.read_id = prid JOIN reads y ON y.read_id = rid),
+numbered AS (SELECT *, row_number() OVER () AS edge FROM ends WHERE length(p) <> length(c)),
+tries AS (SELECT edge, rid, prid, p, c, unnest([shift, -shift, length(p) - length(c) + shift, length(p) - length(c) - shift, 0, length(p) - length(c)]) AS o FROM numbered),
+spans AS (SELECT *, greatest(0, -o) AS lo, greatest(greatest(0, -o), least(length(c), length(p) - o)) AS hi FROM tries),
+misses AS (SELECT *, list_filter(range(lo, hi), lambda j: c[j + 1] <> p[j + o + 1]) AS m FROM spans),
+six AS (SELECT *, lo + length(c) - hi + CASE WHEN lo > 0 AND hi < length(c) THEN 1 ELSE 0 END + list_sum(list_concat([0], list_transform(range(1, len(m) + 1), lambda i: 1 + length((m[i] - coalesce(m[i - 1], lo - 1) - 1)::VARCHAR)))) AS letters FROM misses)"""
 REACH = """both_ways AS (SELECT rid AS u, prid AS v FROM top5 UNION SELECT prid, rid FROM top5),
 reach AS (SELECT u AS node, u AS root FROM both_ways UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.node),
 comps AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
@@ -400,6 +415,29 @@ def archive_bits(spark, sf):
     return rows.withColumn("bits_a_base", F.when(F.col("bases") > 0, 8 * F.col("bytes") / F.col("bases")))
 
 
+def _uneven(spark, sf):
+    """Both files of pairs of 100 and 80 bases as one collection."""
+    return durable(_mates_apart(durable(src.document_pairs(_documents(spark, sf), 80)))[0])
+
+
+def uneven_edges(spark, sf):
+    """Edges of a collection of two lengths: weights count the larger overhang, unshifted reads have one length."""
+    r = _uneven(spark, sf)
+    return ed.edges(r, sk.minimizers(r, 15), 70, longest=100)
+
+
+def uneven_deltas(spark, sf):
+    """The shortest delta of six offsets on each edge between reads of different lengths, and what it decodes to."""
+    r = _uneven(spark, sf)
+    e = ed.edges(r, sk.minimizers(r, 15), 70, longest=100)
+    text = r.select("read_id", F.reverse("seq").alias("s"))
+    rows = e.join(text.select(F.col("read_id").alias("rid"), F.col("s").alias("c")), "rid").join(text.select(F.col("read_id").alias("prid"), F.col("s").alias("p")), "prid")
+    rows = rows.withColumn("c", F.when(F.col("isrc") == 1, fn.reverse_complement(F.col("c"))).otherwise(F.col("c"))).where("length(c) <> length(p)")
+    rows = rows.withColumn("best", delta.delta_best("p", "c", "shift"))
+    back = delta.delta_decode("p", "best.delta", "best.shift", F.length("c"))
+    return rows.select("rid", "prid", F.length("best.delta").alias("letters"), back.alias("back"))
+
+
 def schedule_forest(spark, sf):
     """Edges and weight of the forest of all forty sketches."""
     r = durable(distinct_reads(_reads(spark, sf)))
@@ -430,6 +468,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "shift_edges": (_of_kind("shift"), f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, shift, dif, isrc FROM flat WHERE kind = 'shift' AND dif > 0 AND dif < 90"),
     "top5_edges": (_edges_k15, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT * FROM top5"),
     "deduplicated_edges": (deduplicated_edges, f"WITH {DISTINCT}, {_sketch_sql(15, source='uniq')}, {EDGES} SELECT * FROM top5"),
+    "uneven_edges": (uneven_edges, f"WITH {PAIRS}, {TOP}, {_sketch_sql(15)}, {UNEVEN} SELECT * FROM top5"),
+    "uneven_deltas": (uneven_deltas, f"WITH {PAIRS}, {TOP}, {_sketch_sql(15)}, {UNEVEN}, {SIX} SELECT rid, prid, CAST(min(letters) AS INTEGER) AS letters, c AS back FROM six GROUP BY edge, rid, prid, c"),
     "schedule_edges": (schedule_edges, None),
     "zero_weight_pairs": (zero_weight_pairs, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT rid, prid, isrc FROM flat WHERE dif = 0"),
     "edge_weight_hist": (edge_weight_hist, f"WITH {READS}, {_sketch_sql(15)}, {EDGES} SELECT dif, count(*) AS n FROM top5 GROUP BY dif"),

@@ -17,18 +17,41 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions.sequence import reverse_complement
+from ..plans.durable import durable
+from .graph import in_order
 from .sketch import SCHEDULE, schedule
 
 CAP = 400
 KEPT = 5
+#: Reads of one sketch that a task puts in order.
+HOT = 500_000
 MISMATCH = 3
 
 
-def cluster_index(sketches: DataFrame, by: tuple[str, ...] = ("h",)) -> DataFrame:
-    """Adds cn (reads that share the sketch), rn (place in order) and gs (first rn at the same place)."""
+def cluster_index(sketches: DataFrame, by: tuple[str, ...] = ("h",), hot: int = HOT) -> DataFrame:
+    """Adds cn (reads that share the sketch), rn (place in order) and gs (first rn at the same place).
+
+    A sketch that more than `hot` reads share is not ordered by one task: its reads get numbers from prefix sums over
+    all tasks, and only the least number of each place comes back to them. There are at most reads / `hot` such
+    sketches, so their list is broadcast.
+    """
+    sizes = sketches.groupBy(*by).agg(F.count("*").alias("cn")).where(F.col("cn") > hot)
+    crowded = durable(sizes)
     w = Window.partitionBy(*by)
     order = w.orderBy(F.desc("pos"), "read_id")
-    return sketches.withColumn("cn", F.count("*").over(w).cast("int")).withColumn("rn", F.row_number().over(order)).withColumn("gs", F.rank().over(w.orderBy(F.desc("pos"))))
+    any_crowded = crowded.limit(1).count() > 0
+    few = sketches if not any_crowded else sketches.join(F.broadcast(crowded.select(*by)), list(by), "left_anti").select(*sketches.columns)
+    few = few.withColumn("cn", F.count("*").over(w).cast("int")).withColumn("rn", F.row_number().over(order).cast("long")).withColumn("gs", F.rank().over(w.orderBy(F.desc("pos"))).cast("long"))
+    if not any_crowded:
+        return few
+    many = sketches.join(F.broadcast(crowded.select(*by, F.col("cn").cast("int").alias("cn"))), list(by)).withColumn("down", -F.col("pos"))
+    many = durable(in_order(many, (*by, "down", "read_id"), "number"))
+    places = many.groupBy(*by, "pos").agg(F.min("number").alias("first"))
+    starts = F.broadcast(places.groupBy(*by).agg(F.min("first").alias("start")))
+    # One row a place of a crowded sketch: at most its reads' length for each.
+    many = many.join(F.broadcast(places.join(starts, list(by))), [*by, "pos"])
+    many = many.withColumn("rn", F.col("number") - F.col("start") + 1).withColumn("gs", F.col("first") - F.col("start") + 1)
+    return few.unionByName(many.select(*few.columns))
 
 
 def oriented(reads: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -53,8 +76,12 @@ def mismatches(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
         yield pd.Series(out)
 
 
-def candidates(reads: DataFrame, sketches: DataFrame, by: tuple[str, ...] = ("h",), cap: int = CAP, threshold: int | None = None) -> DataFrame:
-    """Weighted candidates (probe, found, how, s0, isrc, dif); how is hamming at one place, shift across places."""
+def candidates(reads: DataFrame, sketches: DataFrame, by: tuple[str, ...] = ("h",), cap: int = CAP, threshold: int | None = None, longest: int | None = None) -> DataFrame:
+    """Weighted candidates (probe, found, how, s0, isrc, dif); how is hamming at one place, shift across places.
+
+    In a collection of two lengths `longest` is the greater one. Reads of different lengths meet only across places, and
+    the weight counts the larger of both overhangs, or `longest` where the found read covers the probing one.
+    """
     rows = cluster_index(oriented(reads, sketches), by).where("cn >= 2")
     # What a row can reach lies within cap + 1 places, so blocks of that length meet by equality and a crowded sketch
     # costs no more than its rows times the cap.
@@ -68,13 +95,19 @@ def candidates(reads: DataFrame, sketches: DataFrame, by: tuple[str, ...] = ("h"
         near = (F.col("b.rn") < F.col(f"a.{anchor}")) & (F.col("b.rn") >= F.col(f"a.{anchor}") - (cap + 1))
         place = F.col("b.pos") > F.col("a.pos") if across else F.col("b.pos") == F.col("a.pos")
         met = a.join(b, [*same, near, place])
+        if longest is not None and not across:
+            met = met.where(F.length("a.s") == F.length("b.s"))
         if threshold is not None and across:
             met = met.where(shift < threshold)  # sound: the weight is no less than the offset
         return columns(met)
 
     columns = lambda met: met.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.read_id").alias("probe"), F.col("b.read_id").alias("found"), F.col("a.strand").alias("strand"), F.col("b.strand").alias("found_strand"), shift.alias("gap"), F.col("a.s").alias("a_s"), F.col("b.s").alias("b_s"))
     met = meet("rn", False).unionByName(meet("gs", True))
-    dif = MISMATCH * mismatches("b_s", "a_s", "gap") + F.col("gap")
+    over = F.col("gap")
+    if longest is not None:
+        rest = F.length("a_s") - (F.length("b_s") - F.col("gap"))
+        over = F.when(F.length("a_s") == F.length("b_s"), over).when(rest > 0, F.greatest(over, rest)).otherwise(longest)
+    dif = MISMATCH * mismatches("b_s", "a_s", "gap") + over
     s0 = F.when(F.col("found_strand") == 1, -F.col("gap")).otherwise(F.col("gap"))
     return met.select(*by, "probe", "found", F.when(F.col("gap") == 0, "hamming").otherwise("shift").alias("how"), s0.cast("int").alias("s0"), (F.col("strand") != F.col("found_strand")).cast("int").alias("isrc"), dif.cast("int").alias("dif"))
 
@@ -93,16 +126,16 @@ def lightest(found: DataFrame, threshold: int, by: tuple[str, ...] = (), kept: i
     return rows.where(F.col("place") <= kept).drop("place")
 
 
-def edges(reads: DataFrame, sketches: DataFrame, threshold: int = 90, by: tuple[str, ...] = ("h",)) -> DataFrame:
+def edges(reads: DataFrame, sketches: DataFrame, threshold: int = 90, by: tuple[str, ...] = ("h",), longest: int | None = None) -> DataFrame:
     extra = tuple(c for c in by if c != "h")
-    return canonical(lightest(candidates(reads, sketches, by, threshold=threshold), threshold, extra), extra)
+    return canonical(lightest(candidates(reads, sketches, by, threshold=threshold, longest=longest), threshold, extra), extra)
 
 
-def schedule_sets(reads: DataFrame, threshold: int = 90, ks: Iterable[int] = SCHEDULE, at_once: int = 10) -> Iterator[DataFrame]:
+def schedule_sets(reads: DataFrame, threshold: int = 90, ks: Iterable[int] = SCHEDULE, longest: int | None = None, at_once: int = 10) -> Iterator[DataFrame]:
     """Edges of the k-mer schedule, minimizers and maximizers of `at_once` sizes a set; reads must be a durable table."""
     sizes = list(ks)
     for lo in range(0, len(sizes), at_once):
-        yield edges(reads, schedule(reads, sizes[lo : lo + at_once]), threshold, ("k", "kind", "h"))
+        yield edges(reads, schedule(reads, sizes[lo : lo + at_once]), threshold, ("k", "kind", "h"), longest)
 
 
 def uneven_weight(overhang_child: str, overhang_parent: str, miss: str) -> str:

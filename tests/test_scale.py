@@ -12,7 +12,7 @@ from strandloom.operators import edges as ed
 from strandloom.operators import graph as gr
 from strandloom.operators import pairs
 from strandloom.operators import sketch as sk
-from strandloom.operators.delta import encode
+from strandloom.operators.delta import best_shift, decode, encode
 from strandloom.plans import archive
 from strandloom.sources import fastx
 from strandloom.sources import reads as src
@@ -287,3 +287,60 @@ def test_more_sketches_shorten_the_archive(spark, tmp_path):
         told[name] = coded[0].agg(F.count_if(F.col("read_id") == F.col("prid")), F.sum(F.length("delta"))).first()
         assert archive.size(spark, f"{tmp_path}/{name}") > 0
     assert told["all"][0] < told["k15"][0] and told["all"][1] < told["k15"][1]
+
+
+def test_each_of_six_offsets_can_be_the_shortest():
+    rng = random.Random(7)
+    parent = "".join(rng.choice("ACGT") for _ in range(100))
+    for offset in (7, -7, 27, 13, 0, 20):
+        child = "".join(rng.choice("ACGT") for _ in range(max(0, -offset))) + parent[max(0, offset) :]
+        child = (child + "".join(rng.choice("ACGT") for _ in range(80)))[:80]
+        shift, told = best_shift(parent, child, 7)
+        assert shift == offset and decode(parent, told, shift, 80) == child
+    # Both ends stick out of a shorter parent.
+    shift, told = best_shift(parent[:70], "GATT" + parent[:70] + "CCCCCC", -4)
+    assert (shift, told) == (-4, "GATT>CCCCCC") and decode(parent[:70], told, shift, 80) == "GATT" + parent[:70] + "CCCCCC"
+
+
+def test_long_deltas_make_roots_that_take_their_trees_along(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = text(80)
+    first = text(10) + core + text(10)
+    second = first[:50] + ("A" if first[50] != "A" else "C") + first[51:]
+    seqs = [core, core[:40] + ("G" if core[40] != "G" else "T") + core[41:], first, second, rc(first[3:] + text(3)), text(80), text(100)]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    coded = tuple(x.cache() for x in archive.encoded(reads, threshold=15))
+    rows = coded[0].collect()
+    assert all(r.read_id == r.prid or len(r.delta) < 15 for r in rows) and len(rows) == len(seqs)
+    roots = {r.read_id: r.root for r in rows}
+    assert all(roots[r.prid] == r.root for r in rows) and any(r.read_id != r.prid for r in rows)
+    assert roots[0] != roots[2] or roots[1] != roots[3]
+    archive.write(reads, f"{tmp_path}/u", True, coded=coded)
+    assert sorted((r.read_id, r.seq) for r in archive.read(spark, f"{tmp_path}/u").collect()) == list(enumerate(seqs))
+
+
+def rc(s):
+    return s[::-1].translate(archive.COMPLEMENT)
+
+
+def test_crowded_sketches_are_ordered_by_all_tasks(spark):
+    rng = random.Random(1)
+    rows = [(i, 15, "min", rng.choice([5, 5, 5, 6, 7 + i]), rng.randrange(2), rng.randrange(14, 20)) for i in range(300)]
+    table = spark.createDataFrame(rows, "read_id long, k int, kind string, h long, strand int, pos int").repartition(7)
+    plain, spread = (sorted(map(tuple, ed.cluster_index(table, ("k", "kind", "h"), hot).collect())) for hot in (10**6, 20))
+    assert plain == spread and max(r[7] for r in plain) > 100
+
+
+def test_two_lengths_weigh_the_larger_overhang(spark):
+    core = "".join(random.Random(5).choice("ACGT") for _ in range(120))
+    seqs = [core[:100], core[12:92], core[30:110], core[:80]]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    got = {}
+    for r in ed.candidates(reads, sk.minimizers(reads, 15), longest=100).collect():
+        a, b = len(seqs[r.probe]), len(seqs[r.found])
+        gap, rest = abs(r.s0), a - (b - abs(r.s0))
+        got[r.probe, r.found] = r.dif
+        assert r.how == "shift" or a == b
+        assert r.dif == (gap if a == b else max(gap, rest) if rest > 0 else 100)
+    assert len(got) > 2

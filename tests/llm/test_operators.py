@@ -329,6 +329,7 @@ def covered(row, lo, hi):
 def test_substring_dedup_links_all_pairs(spark, most, monkeypatch):
     """Equal passages of a crowd that holds their phrases elsewhere, against all pairs by brute force."""
     monkeypatch.setattr(sub, "MOST_WINDOWS", most)
+    monkeypatch.setattr(sub, "FEW", min(most, sub.FEW))
     shared = [prose(60, 1000 + k) for k in range(3)]
     texts = [f"{prose(30, 2000 + i)} {shared[i % 3]} {prose(30, 3000 + i)}" for i in range(6)]
     for k, p in enumerate(shared):
@@ -345,10 +346,11 @@ def test_substring_dedup_links_all_pairs(spark, most, monkeypatch):
     assert all(got[x[0]].class_id == got[y[0]].class_id and covered(got[x[0]], x[1], x[1] + 50) and covered(got[y[0]], y[1], y[1] + 50) for x, y in pairs)
 
 
-@pytest.mark.parametrize(("most", "templates", "size"), [(16, 4, 100), (1, 1, 400)])
+@pytest.mark.parametrize(("most", "templates", "size"), [(16, 4, 100), (1, 1, 400), (128, 4, 100)])
 def test_substring_dedup_near_copies_in_crowds(spark, most, templates, size, monkeypatch):
     """Texts with one word of their own and no 50 equal words, against the classes of all pairs by brute force."""
     monkeypatch.setattr(sub, "MOST_WINDOWS", most)
+    monkeypatch.setattr(sub, "FEW", min(most, sub.FEW))
     texts = []
     for t in range(templates):
         w = prose(80, 70_000 + t).split()

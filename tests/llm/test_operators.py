@@ -367,6 +367,24 @@ def test_substring_dedup_near_copies_in_crowds(spark, most, templates, size, mon
     assert all(r.spans and r.n_links for r in got.values())
 
 
+def test_verification_is_similar_parts_of_each_pair():
+    """The lookup before the full comparison drops no pair that the comparison would keep."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(300):
+        x = rng.integers(0, 1 << 32, 150, dtype=np.uint32)
+        y = rng.integers(0, 1 << 32, 150, dtype=np.uint32)
+        n = int(rng.integers(0, 100))
+        y[20 : 20 + n] = x[30 : 30 + n]
+        if k % 3 == 0:
+            y[20 + n // 2] += np.uint32(1)
+        rows.append((k, 1000 + k, 0, 0, -12, -8, x.tobytes(), y.tobytes()))
+    want = [(k, o, lo, hi + 5, lo2, hi2 + 5) for k, o, _, _, low, high, x, y in rows for lo, hi, lo2, hi2 in sub.similar_parts(sub._shingles(x), sub._shingles(y), low, high)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefgh"))
+    got = [tuple(r.values()) for b in sub._verified(iter([batch])) for r in b.to_pylist()]
+    assert got == want and 50 < len(want) < 300
+
+
 def one_changed(k):
     """Two texts around a passage of 50 words of which one, k % 50, is another word."""
     w = prose(50, 20_000 + k).split()

@@ -2,9 +2,9 @@
 
 Windows of SPAN bytes that are equal choose the same anchor, the smallest hashed GRAM-byte string in them. Runs of
 windows with one anchor are dealt out by it, and only runs whose anchor occurs more than once carry their bytes. Equal
-runs fold into one row with a count first. What is left of an anchor is a small set of different texts: their windows
-at the same distance from the anchor are sorted as suffixes by a mergesort that compares through prefix polynomial
-hashes and binary search for the common extension, and neighbours that share SPAN bytes are verified byte by byte.
+runs fold into one row with a count first. What is left of an anchor is a small set of different texts: their suffixes
+from the anchor on and, read backwards, what lies before it are sorted by their bytes, and the common lengths of
+neighbours in both orders say which windows at the same distance from the anchor are equal.
 
 An anchor with more than MOST_TEXTS different texts (the rim of a passage that very many documents share) goes another,
 equally exact way. One text of the group is its head, and each other one's common extensions with it, leftwards and
@@ -125,97 +125,50 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(out)
 
 
-class Suffixes:
-    """Suffixes of x, compared through prefix hashes over SPAN bytes at most."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        self.x = x
-        self.s, self.down = prefix_hashes(x)
-
-    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Length of the common extension, by binary search."""
-        lo, hi = np.zeros(len(p), np.int64), np.full(len(p), SPAN, np.int64)
-        while (lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            same = (self.s[p + mid] - self.s[p]) * self.down[p] == (self.s[q + mid] - self.s[q]) * self.down[q]
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
-
-    def less(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        n = self.common(p, q)
-        end = len(self.x) - 1
-        return (n < SPAN) & (self.x[np.minimum(p + n, end)] < self.x[np.minimum(q + n, end)])
-
-    def equal(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Which pairs share SPAN bytes, compared byte by byte where the hashes agree; whether any hash lied."""
-        agree = self.common(p, q) == SPAN
-        wide = np.lib.stride_tricks.sliding_window_view(self.x, SPAN)
-        hits, lied = np.flatnonzero(agree), False
-        for lo in range(0, len(hits), 20_000):
-            k = hits[lo : lo + 20_000]
-            true = (wide[p[k]] == wide[q[k]]).all(axis=1)
-            agree[k] = true
-            lied |= not true.all()
-        return agree, lied
-
-    def sort(self, items: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Bottom-up mergesort inside each class, an item's class being places begin..end-1; all merges of a level at once."""
-        place, width, widest = np.arange(len(items)), 1, int((end - begin).max(initial=1))
-        while width < widest:
-            inner = place - begin
-            pair = begin + inner // (2 * width) * 2 * width
-            left = inner % (2 * width) < width
-            lo = np.where(left, np.minimum(pair + width, end), pair)
-            hi = np.where(left, np.minimum(pair + 2 * width, end), np.minimum(pair + width, end))
-            base = lo.copy()
-            while (open_ := lo < hi).any():
-                k = np.flatnonzero(open_)
-                mid = (lo[k] + hi[k]) >> 1
-                other, own = items[mid], items[k]
-                before = np.where(left[k], self.less(other, own), ~self.less(own, other))
-                lo[k], hi[k] = np.where(before, mid + 1, lo[k]), np.where(before, hi[k], mid)
-            to = pair + (place - np.where(left, pair, pair + width)) + (lo - base)
-            merged = np.empty_like(items)
-            merged[to] = items
-            items, width = merged, 2 * width
-        return items
+def _ranked(group: np.ndarray, x: np.ndarray, start: np.ndarray, size: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of texts by group and by their `size` bytes of x from `start` on (step 1) or back from it (step -1), and
+    the length of each one's common beginning with the one before it in that order, -1 in front of a group."""
+    wide = int(size.max(initial=1))
+    keys = np.zeros((len(size), 8 + wide), np.uint8)
+    keys[:, :8] = group.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for k in range(wide):
+        own = np.flatnonzero(size > k)
+        keys[own, 8 + k] = x[start[own] + step * k]
+    order = np.argsort(keys.view(f"V{8 + wide}").ravel(), kind="stable")
+    keys = keys[order]
+    differs = keys[1:] != keys[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), 8 + wide) - 8
+    return order, np.concatenate(([-1], np.where(common < 0, -1, common)))
 
 
 def repeated_windows(segs: list[bytes], away: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
-    """For each segment which of its windows also start in another segment with the same anchor."""
+    """For each segment which of its windows also start in another segment with the same anchor.
+
+    A window at distance d is d bytes before its anchor and SPAN - d from it on. The suffixes from the anchor on are
+    sorted, and so are the beginnings before it, read backwards; by the common lengths of neighbours both orders fall into
+    classes, and windows at one distance are equal if both their classes are the same.
+    """
+    if not segs:
+        return []
     x = np.frombuffer(b"".join(segs), np.uint8)
-    base = np.concatenate(([0], np.cumsum([len(s) for s in segs])[:-1])).astype(np.int64)
-    seg = np.repeat(np.arange(len(segs)), windows)
-    start = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-    kind = np.unique(anchor, return_inverse=True)[1][seg] * (4 * SPAN) + (away[seg] - start) + SPAN
-    order = np.argsort(kind, kind="stable")
-    cls, begin, count = np.unique(kind[order], return_index=True, return_counts=True)
-    many = np.repeat(count > 1, count)
-    picked, n = order[many], count[count > 1]
-    flags = np.zeros(len(seg), bool)
-    if len(picked):
-        begin = np.repeat(np.cumsum(n) - n, n)
-        end = begin + np.repeat(n, n)
-        at = base[seg[picked]] + start[picked]
-        suffixes = Suffixes(x)
-        # The places of the sorted suffixes lead back to their windows, as each starts at a place of its own.
-        ordered = suffixes.sort(at, begin, end)
-        same, lied = suffixes.equal(ordered[:-1], ordered[1:])
-        same &= begin[:-1] == begin[1:]
-        if lied:
-            same = _by_bytes(x, at, begin, ordered)
-        hit = np.concatenate((ordered[:-1][same], ordered[1:][same]))
-        flags[picked] = np.isin(at, hit)
+    size = np.array([len(s) for s in segs], np.int64)
+    place = np.cumsum(size) - size + away
+    group = np.unique(anchor, return_inverse=True)[1]
+    ahead, after = _ranked(group, x, place, size - away, 1)
+    back, before = _ranked(group, x, place - 1, away.astype(np.int64), -1)
+    flags, at = np.zeros(int(windows.sum()), bool), np.cumsum(windows) - windows
+    names, twins = np.empty(len(segs), np.int64), np.empty(len(segs), np.int64)
+    least = away - windows + 1
+    for d in range(int(least.min()), int(away.max()) + 1):
+        own = np.flatnonzero((least <= d) & (d <= away))
+        names[ahead] = np.cumsum(after < SPAN - d)
+        twins[back] = np.cumsum(before < d)
+        _, kind, count = np.unique(names[own] * (len(segs) + 1) + twins[own], return_inverse=True, return_counts=True)
+        hit = own[count[kind] > 1]
+        flags[at[hit] + away[hit] - d] = True
     return np.split(flags, np.cumsum(windows)[:-1])
 
 
-def _by_bytes(x: np.ndarray, at: np.ndarray, begin: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """The way out where a hash collided: the same order by the bytes themselves."""
-    raw = x.tobytes()
-    ordered[:] = [p for _, _, p in sorted((b, raw[p : p + SPAN], p) for b, p in zip(begin.tolist(), at.tolist(), strict=True))]
-    return np.array([raw[p : p + SPAN] == raw[q : q + SPAN] for p, q in zip(ordered[:-1].tolist(), ordered[1:].tolist(), strict=True)]) & (begin[:-1] == begin[1:])
-
-
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ROW arrive sorted by group; groups are worked off many at a time."""
     rows: list[tuple] = []

@@ -28,6 +28,7 @@ LONG_WORD = 64
 TEXTS = 1000
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 TWO_SPACES = re.compile(r"\s\s")
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,15 +65,46 @@ class TrieEncoder:
             self.pair.setdefault((left, right), t)
         #: Bytes of each id, by its decimal digits.
         self.spelled = {b"%d" % vocab[s]: raw(s) for s in vocab if s not in self.special} | {b"%d" % i: s.encode() for s, i in self.special.items()}
-        #: Longest token for each ending of three bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in self.token:
-            if len(t) > 2:
-                self.reach[t[-3:]] = max(self.reach.get(t[-3:], 0), len(t))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.digits = [b"%d" % i for i in self.ids]
+        #: Whether no special token can lie in a space and letters.
+        self.plain = all(re.search("[^ A-Za-z]", x) for x in self.special)
+        self._automaton()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _automaton(self) -> None:
+        """A state for each beginning of a token: where it goes on a byte, and the tokens that it ends with, longest first,
+        each with its length and what is known of the tokens that it may follow.
+
+        A state that no token goes on from with a byte falls back to its longest end that is a state; such steps are
+        worked out when they first come and kept in `steps`.
+        """
+        self.goes: dict[int, int] = {}
+        name: dict[bytes, int] = {b"": 0}
+        for t in sorted(self.token, key=len):
+            for n in range(1, len(t) + 1):
+                if t[:n] not in name:
+                    name[t[:n]] = state = len(name)
+                    self.goes[name[t[: n - 1]] << 8 | t[n - 1]] = state
+        self.back, self.ends = [0] * len(name), [()] * len(name)
+        self.size = [0] * len(self.ids)
+        self.fits: list[dict[int, bool]] = [{} for _ in self.ids]
+        self.borders = 0
+        for text in sorted(name, key=len)[1:]:
+            state, t = name[text], self.token.get(text)
+            if len(text) > 1:
+                self.back[state] = self.step(self.back[name[text[:-1]]], text[-1])
+            self.ends[state] = self.ends[self.back[state]]
+            if t is not None:
+                self.size[t] = len(text)
+                self.ends[state] = ((t, len(text), self.fits[t].get), *self.ends[state])
+        self.steps = dict(self.goes)
+
+    def step(self, state: int, byte: int) -> int:
+        while state and state << 8 | byte not in self.goes:
+            state = self.back[state]
+        return self.goes.get(state << 8 | byte, 0)
+
     def may_follow(self, first: int, second: int) -> bool:
         """Whether merging leaves the border between two tokens alone: no merge across it comes due before both ends are done."""
         a, b, limit, answer = first, second, len(self.ids), True
@@ -90,36 +122,55 @@ class TrieEncoder:
                 if self.halves[b][0] == b:
                     break
                 limit, b = b + 1, self.halves[b][0]
-        if len(self.fits) > MOST_BORDERS:
-            self.fits.clear()
-        self.fits[first, second] = answer
+        self.borders += 1
+        if self.borders > MOST_BORDERS:
+            self.borders = 1
+            for known in self.fits:
+                known.clear()
+        self.fits[second][first] = answer
         return answer
 
-    def traverse(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """(word, ids) of distinct words in sorted order, depth first through their trie.
+    def traverse(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, decimal ids joined by commas) of distinct words in sorted order, depth first through their trie.
 
-        last[d] is the last token of the current path's first d bytes, back[d] the depth before that token.
+        state[d] is the automaton's after the current path's first d bytes, last[d] their last token.
         """
-        token, follow, fits, reach, names = self.token.get, self.may_follow, self.fits.get, self.reach.get, self.ids
-        last, back, before = [-1], [0], b""
+        if len(self.steps) > len(self.goes) + MOST_BORDERS:
+            self.steps = dict(self.goes)
+        steps, ends, follow, names, size = self.steps, self.ends, self.may_follow, self.digits, self.size
+        state, last, before = [0], [-1], b""
         for word in words:
             d, most = 0, min(len(word), len(before))
+            if word[:most] == before[:most]:
+                d = most
             while d < most and word[d] == before[d]:
                 d += 1
-            del last[d + 1 :], back[d + 1 :]
-            for end in range(d + 1, len(word) + 1):
-                start = end - reach(word[end - 3 : end], 2) if end > 2 else 0
-                for start in range(start if start > 0 else 0, end):
-                    t = token(word[start:end])
-                    if t is not None and (start == 0 or ((known := fits((last[start], t))) is None and follow(last[start], t)) or known):
-                        last.append(t)
-                        back.append(start)
+            if len(word) >= len(state):
+                more = len(word) + 1 - len(state)
+                state += [0] * more
+                last += [0] * more
+            at, end = state[d], d
+            for byte in word[d:]:
+                key = at << 8 | byte
+                try:
+                    at = steps[key]
+                except KeyError:
+                    at = steps[key] = self.step(at, byte)
+                end += 1
+                for t, n, known in ends[at]:
+                    if n == end:
+                        break
+                    may = known(last[end - n])
+                    if may or (may is None and follow(last[end - n], t)):
                         break
-            out, at = [], len(word)
+                state[end], last[end] = at, t
+            out, at = [], end
             while at:
-                out.append(names[last[at]])
-                at = back[at]
-            yield word, out[::-1]
+                t = last[at]
+                out.append(names[t])
+                at -= size[t]
+            out.reverse()
+            yield word, b",".join(out)
             before = word
 
     def parts(self, chunk: str) -> list[int | bytes]:
@@ -135,22 +186,25 @@ class TrieEncoder:
     def encode_texts(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, decimal ids joined by commas, decoded bytes) of each text.
 
-        Where no two spaces of any kind stand together, a space always begins its word, so the text splits at single
-        spaces into pieces that do not depend on each other; other texts are one piece.
+        A space between two other characters always begins its word, so the text splits at such spaces into pieces that do
+        not depend on each other. A piece of plain letters is one word.
         """
-        lone = [bool(TWO_SPACES.search(t)) for t in texts]
-        pieces = [[] if x else t.split(" ") for t, x in zip(texts, lone, strict=True)]
-        heads = [t if x else ps.pop(0) for t, x, ps in zip(texts, lone, pieces, strict=True)]
+        pieces = [LONE_SPACE.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]
+        heads = [ps.pop(0) for ps in pieces]
         new = set().union(*pieces).difference(self.young)
         known = {p: ids for p in new if (ids := self.old.get(p)) is not None}
-        split = {" " + p: self.parts(" " + p) for p in new.difference(known)} | {h: self.parts(h) for h in heads}
-        words = {w for ws in split.values() for w in ws if isinstance(w, bytes)}
-        ids_of = dict(self.traverse(sorted(words)))
-        once, first = {}, {}
+        new.difference_update(known)
+        letters = {p: b" " + p.encode() for p in new if self.plain and p.isascii() and p.isalpha()}
+        split = {" " + p: self.parts(" " + p) for p in new.difference(letters)}
+        heads_split = {h: self.parts(h) for h in set(heads)}
+        words = {w for kind in (split, heads_split) for ws in kind.values() for w in ws if isinstance(w, bytes)}
+        ids_of = dict(self.traverse(sorted(words.union(letters.values()))))
+        joined = lambda ws: b",".join([ids_of[w] if isinstance(w, bytes) else b"%d" % w for w in ws])
+        first = {h: joined(ws) for h, ws in heads_split.items()}
+        once = {p: ids_of[w] for p, w in letters.items() if len(p) >= LONG_WORD}
+        known |= {p: ids_of[w] for p, w in letters.items() if len(p) < LONG_WORD}
         for p, ws in split.items():
-            first[p] = listed = b",".join([b"%d" % i for w in ws for i in (ids_of[w] if isinstance(w, bytes) else (w,))])
-            if p[:1] == " ":
-                (known if len(p) <= LONG_WORD else once)[p[1:]] = listed
+            (known if len(p) <= LONG_WORD else once)[p[1:]] = joined(ws)
         if len(self.young) + len(known) > MOST_WORDS:
             self.old, self.young = self.young, {}
         self.young |= known

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from strandloom.llm import bpe
 from strandloom.llm import substring_dedup as sub
 from strandloom.llm import suffix_dedup as sd
 from strandloom.llm.bpe import bpe_digests, default_tokenizer
@@ -427,3 +428,20 @@ def test_substring_dedup_covers_every_occurrence(spark):
     texts = [f"{prose(30, 71)} {SHARED} {prose(50, 72)} {SHARED} {prose(9, 73)}", f"{prose(20, 74)} {SHARED} {prose(20, 75)}"]
     got = {r.doc_id: r for r in substring_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     assert [(s.lo, s.hi) for s in got[0].spans] == [(30, 110), (160, 240)] and [(s.lo, s.hi) for s in got[1].spans] == [(20, 100)]
+
+
+def test_bpe_follows_one_chain_of_token_ends():
+    """Odd words against the library; the automaton falls back along ends instead of trying every beginning of a token."""
+    rng = np.random.default_rng(8)
+    odd = ["", " ", "  two  spaces ", "a\n b\x1c c d", "x <|endoftext|> y<|endoftext|>z", "don't I'll", "é 漢字 ab", "a" * 300, "<| endoftext |>", *TEXTS[7:9]]
+    texts = odd + ["".join(rng.choice(list("etaoinsh TE\n1'.é "), 200)) for _ in range(60)]
+    e, h = bpe.TrieEncoder(open(default_tokenizer(), encoding="utf-8").read()), Tokenizer.from_file(default_tokenizer())
+    for _ in range(2):
+        for t, (n, ids, raw) in zip(texts, e.encode_texts(texts), strict=True):
+            want = h.encode(t, add_special_tokens=False).ids
+            assert (n, ids) == (len(want), ",".join(map(str, want)).encode()) and raw.decode("utf-8", "replace") == h.decode(want, skip_special_tokens=False)
+    for text, state in ((b"the", 0), (b"zqxj", 0)):
+        for k, byte in enumerate(text):
+            state = e.step(state, byte)
+            ends = [text[k + 1 - n : k + 1] for _, n, _ in e.ends[state]]
+            assert ends == [text[i : k + 1] for i in range(k + 1) if text[i : k + 1] in e.token]

@@ -73,6 +73,11 @@ class Ids:
         ranks = self.bpe.encode(word, allowed_special="all") if special else self.bpe.encode_ordinary(word)
         return array("I", ranks if self.same else map(self.name.__getitem__, ranks)).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of what the pattern does not split."""
+        ranks = self.bpe._encode_single_piece(word)
+        return array("I", ranks if self.same else map(self.name.__getitem__, ranks)).tobytes()
+
     def parts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, word by word: a space between two other characters always begins its token."""
         words = [LONE_SPACE.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]
@@ -81,8 +86,11 @@ class Ids:
         known = {w: ids for w in new if (ids := self.old.get(w)) is not None}
         special = any(s in t for s in self.special for t in texts)
         once, first = {}, {h: self.of(h, special) for h in set(heads)}
+        plain = not special or all(re.search("[^ A-Za-z]", s) for s in self.special)
         for w in new.difference(known):
-            (known if len(w) <= LONG_WORD else once)[w] = self.of(" " + w, special)
+            # A space and plain letters are one word of the pattern.
+            ids = self.word(" " + w) if plain and w.isascii() and w.isalpha() else self.of(" " + w, special)
+            (known if len(w) <= LONG_WORD else once)[w] = ids
         if len(self.young) + len(known) > MOST_WORDS:
             self.old, self.young = self.young, {}
         self.young |= known

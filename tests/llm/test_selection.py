@@ -191,3 +191,15 @@ def test_prices_are_knapsack_optima():
     assert np.allclose(worth, best)
     for pattern in packing.configurations(worth, last, values, lengths, 30, 9):
         assert sum(pattern) <= 30
+
+
+def test_plain_words_skip_the_pattern(monkeypatch):
+    """Words of letters are encoded without the pattern, with the ids of the library; others still go through it."""
+    own, through = packing.Ids(open(default_tokenizer(), encoding="utf-8").read()), []
+    h = Tokenizer.from_file(default_tokenizer())
+    of = packing.Ids.of
+    monkeypatch.setattr(packing.Ids, "of", lambda self, w, special: through.append(w) or of(self, w, special))
+    text = "First zqxjkv the antidisestablishmentarian don't x1 é <|endoftext|> end"
+    ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+    assert ids == h.encode(text, add_special_tokens=False).ids
+    assert sorted(through) == sorted(["First", " don't", " x1", " é", " <|endoftext|>"])

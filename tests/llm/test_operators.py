@@ -391,6 +391,27 @@ def test_substring_dedup_near_copies_in_crowds(spark, most, templates, size, mon
     assert all(r.spans and r.n_links for r in got.values())
 
 
+def test_substring_dedup_near_pairs_in_an_unlike_crowd(spark):
+    """3,000 texts hold a phrase of 40 words; each pair of them that is alike shares 12 words more, and nothing that is rare."""
+    phrase = prose(40, 81_000)
+    texts = [f"{prose(20, 82_000 + i)} {phrase} own{i} {prose(12, 90_000 + i // 2)} {prose(20, 100_000 + i)}" for i in range(3000)]
+    got = {r.doc_id: r for r in substring_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].class_id for i in range(3000)] == [i // 2 * 2 for i in range(3000)]
+    assert all(covered(r, 20, 73) and r.n_links == 1 for r in got.values())
+
+
+def test_tokens_in_common():
+    rng = np.random.default_rng(5)
+    around = [np.concatenate([rng.integers(0, 60, 50), rng.integers(60, 1 << 32, 20)]).astype(np.uint32) for _ in range(40)]
+    around[7] = rng.integers(60, 1 << 32, 70).astype(np.uint32)
+    x, y = np.arange(25), np.arange(10, 40)
+    here, there = sub.in_common([a.tobytes() for a in around], x, y)
+    for i in x:
+        for j in y[y != i]:
+            want = (0, 0) if 7 in (i, j) else (np.isin(around[i], around[j]).sum(), np.isin(around[j], around[i]).sum())
+            assert (here[i, j - 10], there[i, j - 10]) == want
+
+
 def test_verification_is_similar_parts_of_each_pair():
     """The lookup before the full comparison drops no pair that the comparison would keep."""
     rng = np.random.default_rng(11)

@@ -412,6 +412,29 @@ def test_tokens_in_common():
             assert (here[i, j - 10], there[i, j - 10]) == want
 
 
+def test_covered_windows_alike_are_counted_once(spark):
+    """3,000 covered windows of one class with the same tokens around leave two, of different texts; open ones and those of other ends all stay."""
+    around = np.arange(100, dtype=np.uint32).tobytes()
+    rows = [(i, 7, 60, 10, 150, 1, True, around) for i in range(3000)] + [(5000 + i, 7, 60, 10, 150, 1, False, around) for i in range(20)]
+    rows += [(6000, 7, 60, 11, 150, 1, True, around), (6001, 7, 60, 10, 150, 2, True, around), (5000, 7, 90, 10, 150, 1, False, around)]
+    got = sub._unlike(spark.createDataFrame(rows, f"{sub.OPEN}, around binary"))
+    assert sorted((r.rid, r.c) for r in got.collect()) == [(0, 60), (2999, 60), *sorted([*((5000 + i, 60) for i in range(20)), (5000, 90)]), (6000, 60), (6001, 60)]
+
+
+def test_windows_unlike_all_others_go_before_pairs(spark, monkeypatch):
+    """Exactly the windows of a large group with too few tokens that other windows have, by brute force; small groups stay whole."""
+    monkeypatch.setattr(sub, "LARGE", 50)
+    rng = np.random.default_rng(12)
+    shared = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    laid = [np.concatenate([rng.integers(0, 1 << 32, 50, dtype=np.uint32), shared[: int(rng.integers(20, 50))]]) for _ in range(80)]
+    laid[3] = np.concatenate([np.repeat(shared[:1], 40), laid[3][:30]])
+    rows = [(i, k, 60, 10, 150, i, False, a.tobytes()) for k, of in ((7, laid), (8, laid[:20])) for i, a in enumerate(of)]
+    got = {(r.key, r.rid) for r in sub._promising(spark.createDataFrame(rows, f"{sub.OPEN}, around binary")).collect()}
+    holders = Counter(t for a in laid for t in set(a.tolist()))
+    want = {(7, i) for i, a in enumerate(laid) if sum(holders[t] > 1 for t in a.tolist()) >= sub.FEWEST}
+    assert got == want | {(8, i) for i in range(20)} and 20 < len(want) < 70 and (7, 3) in want
+
+
 def test_verification_is_similar_parts_of_each_pair():
     """The lookup before the full comparison drops no pair that the comparison would keep."""
     rng = np.random.default_rng(11)
